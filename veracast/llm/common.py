@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -32,20 +33,26 @@ class Rows:
         return df.select(*self.own).toDF(*self.names)
 
 
-def reliable(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the session's ``spark.checkpoint.dir``; only where that is
-    unset (a local session, as in tests) a temporary one is made.
-    """
-    spark = df.sparkSession
+def _checkpoint_dir(spark: SparkSession) -> str:
+    """The session's ``spark.checkpoint.dir``; only where that is unset (a
+    local session, as in tests) a temporary folder."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        folder = context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-")
-        context.setCheckpointDir(folder)
+        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+    return context._jsc.sc().getCheckpointDir().get()
+
+
+def reliable(df: DataFrame) -> DataFrame:
+    """Write df to the cluster's shared checkpoint folder and cut its lineage."""
+    _checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """A new folder's path in the checkpoint folder, for tables."""
+    return f"{_checkpoint_dir(spark)}/tables-{uuid.uuid4().hex}"
+
+
 def small(df: DataFrame, most: int) -> DataFrame:
     """Mark a checkpointed df for broadcast if it has at most ``most`` rows;
     beyond that the planner's shuffled joins are left to do the work."""

@@ -6,23 +6,64 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import near_dedup, toxicity
-from .common import table
+from . import html_text, licenses, media, mixing, near_dedup, packing, quality, sharding, toxicity, url_filter
+from .common import shared_folder, table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.licenses(table(spark, sf_dir, "documents"))
+
+
+def op2_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+def op3_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.url_verdicts(table(spark, sf_dir, "pages"))
+
+
+def op4_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media.media_columns(media.embedding_media(table(spark, sf_dir, "embeddings")))
+
+
+def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.quality_verdicts(table(spark, sf_dir, "documents"))
+
+
 def op6_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.toxicity_scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.sharded(table(spark, sf_dir, "documents"), shared_folder(spark))
+
+
+def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.packed(table(spark, sf_dir, "documents"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixture(table(spark, sf_dir, "documents"))
+
+
 def op10_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_dedup.duplicates(table(spark, sf_dir, "documents"))
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline  # which itself imports the operators
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
+OPERATORS = (op1_license_scan, op2_html_extraction, op3_url_filter, op4_media_columns, op5_quality_rules, op6_toxicity, op7_sharding, op8_packing, op9_mixing, op10_near_dedup, pipeline)
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op6_toxicity, op10_near_dedup)}
+    return {f.__name__: f for f in OPERATORS}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op3_url_filter": url_filter.SQL, "op5_quality_rules": quality.SQL, "op9_mixing": mixing.SQL}
