@@ -8,14 +8,16 @@ the words that are missing, changed or inserted are counted exactly.
 
 Which documents reach Python is decided by substring tests in the JVM. Every
 template must hold one of ANCHORS, so a text without any is never a match.
-Within a document, a candidate block is a run of lines around lines with an
-anchor, as long as no more than ``gap`` lines between them have none.
+Within a document, a candidate block is a run of lines with an anchor and the
+``gap`` lines before and after each of them. A template is aligned only if it
+could be confirmed: if enough of its words, counted with repeats, are there.
 """
 
 from __future__ import annotations
 
 import difflib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
 
@@ -69,17 +71,17 @@ def words(text: str) -> list[str]:
 
 
 def candidate_blocks(text: str, gap: int = 2) -> list[tuple[int, str]]:
-    """(number of the first line, text) of each candidate block."""
+    """(number of the first line with an anchor, text) of each candidate block."""
     lines = text.split("\n")
     out: list[tuple[int, int]] = []
     for i, line in enumerate(lines):
         low = line.lower()
         if any(a in low for a in ANCHORS):
-            if out and i - out[-1][1] <= gap + 1:
+            if out and i - out[-1][1] <= 2 * gap + 1:
                 out[-1] = (out[-1][0], i)
             else:
                 out.append((i, i))
-    return [(a, "\n".join(lines[a : b + 1])) for a, b in out]
+    return [(a, "\n".join(lines[max(0, a - gap) : b + gap + 1])) for a, b in out]
 
 
 class Scanner:
@@ -90,6 +92,7 @@ class Scanner:
             if not any(a in text.lower() for a in ANCHORS):
                 raise ValueError(f"template {name} holds none of ANCHORS")
         self.words = {name: words(text) for name, text in templates.items()}
+        self.counted = {name: Counter(own) for name, own in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=level)
         self.given = {}
         for name, own in self.words.items():
@@ -119,10 +122,13 @@ class Scanner:
         those within ``keep`` bytes of the first that is confirmed are compared
         with it, and the fewest differences for a word of the template win."""
         text = words(block)
+        there = Counter(text)
         best, first = None, 0
         for saved, name in self.ranked(text):
             if best and saved < first - keep:
                 break
+            if (self.counted[name] & there).total() < (1 - tolerance) * len(self.words[name]):
+                continue
             lacking, inserted = self.differences(name, text)
             share = (lacking + inserted) / len(self.words[name])
             if share <= tolerance:

@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -135,26 +136,57 @@ def join_node(key: int, ids: np.ndarray, sketch: np.ndarray, need: int, many: in
     return edges
 
 
-def _edges(threshold: float, many: int, limit: int):
+def matches(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray, threshold: float, many: int, limit: int) -> list[tuple[int, int]]:
+    """Edges within the nodes of rows in key order."""
     need = needed(threshold)
+    cuts = np.flatnonzero(np.diff(keys)) + 1
+    start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
+    two = start[end - start == 2]
+    hit = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= need]
+    a, b = ids[hit], ids[hit + 1]
+    found = list(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
+    for s, e in zip(start[end - start > 2], end[end - start > 2]):
+        found += join_node(int(keys[s]), ids[s:e], sketch[s:e], need, many, limit, threshold)
+    return found
+
+
+def groups(texts: list[pa.Array], threshold: float = 0.5, k: int = 3, trees: int = 5, limit: int = 400) -> np.ndarray:
+    """The least row of each row's group, for texts that fit into memory."""
+    many, root, done = math.ceil(1 / threshold), [], 0
+    rows, values = [], []
+    for part in texts:
+        at, value = signatures(part, k)
+        rows.append(at + done)
+        values.append(value)
+        done += len(part)
+    root = np.arange(done)
+    if not done or not sum(map(len, rows)):
+        return root
+    ids, value = np.concatenate(rows), np.concatenate(values)
+    keys = first_keys(value, trees, many)
+    sketch = value.astype(np.uint8)
+
+    def top(x: int) -> int:
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for c in range(keys.shape[1]):
+        order = np.argsort(keys[:, c], kind="stable")
+        for u, v in matches(keys[order, c], ids[order], sketch[order], threshold, many, limit):
+            a, b = top(u), top(v)
+            root[max(a, b)] = min(a, b)
+    return np.array([top(x) for x in range(done)])
 
-    def run(keys: np.ndarray, ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
-        cuts = np.flatnonzero(np.diff(keys)) + 1
-        start, end = np.concatenate([[0], cuts]), np.concatenate([cuts, [len(keys)]])
-        two = start[end - start == 2]
-        hit = two[(sketch[two] == sketch[two + 1]).sum(axis=1) >= need]
-        a, b = ids[hit], ids[hit + 1]
-        found = list(zip(np.maximum(a, b).tolist(), np.minimum(a, b).tolist()))
-        for s, e in zip(start[end - start > 2], end[end - start > 2]):
-            found += join_node(int(keys[s]), ids[s:e], sketch[s:e], need, many, limit, threshold)
-        return found
 
+def _edges(threshold: float, many: int, limit: int):
     def edges(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         """Of rows in key order; the last node of a batch waits for the next."""
         held: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
 
         def out(parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
-            found = [(a, b) for a, b in set(run(*(np.concatenate(x) for x in zip(*parts)))) if a != b]
+            found = [(a, b) for a, b in set(matches(*(np.concatenate(x) for x in zip(*parts)), threshold, many, limit)) if a != b]
             return pa.RecordBatch.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["u", "v"])
 
         for batch in batches:
@@ -288,4 +320,5 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, k: int = 3, trees: int = 5
     many = kept.join(repeated, id_ == F.col("_again"), "left_semi")
     has_words = F.coalesce(text.rlike("[0-9A-Za-z]|[^\\x00-\\x7f]"), F.lit(False))
     first = many.where(has_words).withColumn("_n", F.row_number().over(Window.partitionBy(id_).orderBy(F.xxhash64(text), text))).where("_n = 1")
-    return rows.give(kept.join(repeated, id_ == F.col("_again"), "left_anti")).unionByName(rows.give(first)).unionByName(rows.give(many.where(~has_words)))
+    parts = [kept.join(repeated, id_ == F.col("_again"), "left_anti"), first, many.where(~has_words)]
+    return rows.give(reduce(DataFrame.union, (part.select(*rows.own) for part in parts)))

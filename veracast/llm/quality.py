@@ -31,11 +31,22 @@ TRUSTED, BAD = 0.02, 0.5
 _MOST = 1e6
 
 
-def _measures(text: Column) -> dict[str, Column]:
-    t = F.coalesce(text, F.lit(""))
-    without = lambda chars: F.length(t) - F.length(F.translate(t, chars, ""))
-    words = F.split(F.translate(t, "\n\t\r", "   "), " ", -1)
-    return {"_n": F.length(t), "_gaps": without(" \n\t\r"), "_sym": without(SYMBOLS), "_cap": without(UPPER), "_exc": without("!"), "_dig": without("0123456789"), "_dis": F.size(F.array_distinct(words))}
+def _kinds(t: Column) -> Column:
+    """t with a letter of its kind for each character that a rule counts; one
+    pass per character, so that what follows are plain substring searches."""
+    digits = "0123456789"
+    return F.translate(t, UPPER + digits + SYMBOLS + "\n\t\r", "A" * len(UPPER) + "0" * len(digits) + "#" * len(SYMBOLS) + "   ")
+
+
+def _measures(rows: Rows) -> DataFrame:
+    t = F.coalesce(rows["text"], F.lit(""))
+    flat = t
+    for blank in "\n\t\r":
+        flat = F.replace(flat, F.lit(blank), F.lit(" "))
+    df = rows.df.withColumn("_kinds", _kinds(t)).withColumn("_n", F.length("_kinds").cast("long"))
+    for name, kind in (("_gaps", " "), ("_sym", "#"), ("_cap", "A"), ("_exc", "!"), ("_dig", "0")):
+        df = df.withColumn(name, F.col("_n") - F.length(F.replace("_kinds", F.lit(kind), F.lit(""))))
+    return df.withColumn("_dis", F.size(F.array_distinct(F.split(flat, " ", -1))).cast("long")).drop("_kinds")
 
 
 def _fails() -> list[tuple[str, str]]:
@@ -53,9 +64,7 @@ def _fails() -> list[tuple[str, str]]:
 
 def _counted(rows: Rows) -> DataFrame:
     """rows with _mask (a bit for each failed rule), _fail and _near (how many)."""
-    df = rows.df
-    for name, c in _measures(rows["text"]).items():
-        df = df.withColumn(name, c.cast("long"))
+    df = _measures(rows)
     bit = lambda k: " + ".join(f"case when {x[k]} then {{}} else 0 end" for x in _fails())
     ones = [1] * len(RULES)
     df = df.withColumn("_mask", F.expr(bit(0).format(*(1 << i for i in range(len(RULES))))).cast("long"))

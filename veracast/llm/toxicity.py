@@ -1,10 +1,10 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models per language, one of toxic and one of ordinary documents,
-are estimated from a bounded sample of labelled rows. Both are of the
-Kneser-Ney kind: counts are of distinct contexts, not of occurrences, so that
-copies of a document add nothing; an absolute discount is taken off every
-count and handed to the next lower order:
+Two bigram models, one of toxic and one of ordinary documents, are estimated
+from a bounded sample of labelled rows. Both are of the Kneser-Ney kind:
+counts are of distinct contexts, not of occurrences, so that copies of a
+passage add nothing; an absolute discount is taken off every count and handed
+to the next lower order:
 
     word after word  ->  word  ->  beginning of a word  ->  shared counts
 
@@ -13,8 +13,9 @@ word given its beginning, so an expression too rare to clear the discount gets
 about the same likelihood from either model and tells nothing. A document's
 score is the mean over its words of the toxic less the ordinary
 log-likelihood, where words on which the models differ by less than ``margin``
-nats count as nought: such differences come from topics and from the size of
-the sample. The threshold is the one with the fewest errors on the sample.
+nats count as nought: such differences come from topics, languages and the
+size of the sample. Of some discounts the one with the fewest errors on a
+held-out half of the sample is taken, and with it the threshold.
 
 Everything but the fit covers all rows: whole texts are scored in one pass
 without a shuffle, against a model whose size the sample bounds.
@@ -22,19 +23,25 @@ without a shuffle, against a model whose size the sample bounds.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import Rows
+from .near_dedup import groups
 from .words import pieces, word_hashes
 
-STEM = 4
+STEM = 5
+#: labelled rows of [ordinary, toxic] documents in the sample, at most
+SAMPLE = (6000, 1500)
+DISCOUNTS = (3.0, 6.0, 10.0)
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -68,8 +75,9 @@ def _types(words: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 @dataclass
-class Language:
-    """Log-likelihoods by class, [ordinary, toxic], each with its sorted keys."""
+class Model:
+    """Log-likelihoods by class, [ordinary, toxic], each with its sorted keys;
+    one that isn't fitted finds nothing."""
 
     word: np.ndarray
     word_ll: np.ndarray
@@ -80,11 +88,38 @@ class Language:
     context_rest: np.ndarray
     pair: np.ndarray
     pair_ll: np.ndarray
+    margin: float = 0.0
+    threshold: float = float("inf")
+
+    @staticmethod
+    def empty() -> Model:
+        keys, none = np.zeros(0, np.uint64), np.zeros((2, 0))
+        return Model(keys, none, keys, none, np.zeros(2), keys, none, keys, none)
+
+    def scores(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(words, mean ordinary and toxic log-likelihood, score) of each text."""
+        words, offset, stems = word_hashes(texts, STEM)
+        return self.averages(words, stems, offset)
+
+    def averages(self, words: np.ndarray, stems: np.ndarray, offset: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        n = np.diff(offset)
+        ll = np.zeros((2, len(n)))
+        score = np.zeros(len(n))
+        own = np.flatnonzero(n)
+        if len(own):
+            each = self.score(words, stems, offset)
+            apart = each[1] - each[0]
+            apart[apart < self.margin] = 0
+            ll[:, own] = np.add.reduceat(each, offset[own], axis=1) / n[own]
+            score[own] = np.add.reduceat(apart, offset[own]) / n[own]
+        return n, ll[0], ll[1], score
 
     def score(self, words: np.ndarray, stems: np.ndarray, offset: np.ndarray) -> np.ndarray:
         """(2, words) log-likelihoods."""
         at, there = _find(self.word, words)
-        ll = np.where(there, self.word_ll[:, at] if len(self.word) else 0.0, self.unseen_ll[:, None])
+        if not len(self.word):
+            return np.zeros((2, len(words)))
+        ll = np.where(there, self.word_ll[:, at], self.unseen_ll[:, None])
         lost = np.flatnonzero(~there)
         at, there = _find(self.stem, stems[lost])
         if there.any():
@@ -99,7 +134,7 @@ class Language:
         return ll
 
 
-def _fit_language(classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discount: float) -> Language:
+def _estimate(classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], discount: float) -> Model:
     """classes: of ordinary and of toxic texts, (words, offsets, stems)."""
     words = np.concatenate([w for w, _, _ in classes])
     stems = np.concatenate([s for _, _, s in classes])
@@ -123,7 +158,6 @@ def _fit_language(classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], disc
         stem_p.append(cut.sum() / total * begin / len(word))
         unseen_p.append(cut.sum() / total * stem_cut.sum() / total / len(word) / max(len(stem), 1))
     # bigrams count by the distinct words before them
-    start = 0
     strong: list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]] = []
     for w, o, _ in classes:
         v = _before(w, o)
@@ -131,7 +165,6 @@ def _fit_language(classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], disc
         _, at = np.unique(triple, return_index=True)
         key, one, count = np.unique(_pair(v[at], w[at]), return_index=True, return_counts=True)
         strong.append((key, v[at][one], w[at][one], count.astype(float)))
-        start += len(w)
     wanted, first = np.unique(np.concatenate([k[c > discount] for k, _, _, c in strong]), return_index=True)
     before = np.concatenate([v[c > discount] for _, v, _, c in strong])[first]
     after = np.concatenate([w[c > discount] for _, _, w, c in strong])[first]
@@ -147,60 +180,40 @@ def _fit_language(classes: list[tuple[np.ndarray, np.ndarray, np.ndarray]], disc
         c = np.searchsorted(context, before)
         pair_p.append(np.maximum(seen - discount, 0) / np.maximum(total[c], 1) + left[c] * lower[np.searchsorted(word, after)])
         rest.append(left)
-    return Language(word, np.log(np.stack(word_p)), stem, np.log(np.maximum(np.stack(stem_p), 1e-300)), np.log(np.maximum(np.array(unseen_p), 1e-300)), context, np.log(np.maximum(np.stack(rest), 1e-300)), wanted, np.log(np.maximum(np.stack(pair_p), 1e-300)))
-
+    return Model(word, np.log(np.stack(word_p)), stem, np.log(np.maximum(np.stack(stem_p), 1e-300)), np.log(np.maximum(np.array(unseen_p), 1e-300)), context, np.log(np.maximum(np.stack(rest), 1e-300)), wanted, np.log(np.maximum(np.stack(pair_p), 1e-300)))
 
-@dataclass
-class Model:
-    languages: dict[str, Language] = field(default_factory=dict)
-    margin: float = 3.0
-    threshold: float = 0.0
-
-    def scores(self, texts: pa.Array, langs: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(words, mean ordinary and toxic log-likelihood, score) of each text."""
-        words, offset, stems = word_hashes(texts, STEM)
-        n = np.diff(offset)
-        ll = np.zeros((2, len(n)))
-        score = np.zeros(len(n))
-        if not self.languages:
-            return n, ll[0], ll[1], score
-        name = np.array([x if x in self.languages else "" for x in langs], dtype=object)
-        for lang in set(name):
-            own = np.flatnonzero(name == lang)
-            own = own[n[own] > 0]
-            if not len(own):
-                continue
-            to = np.concatenate([[0], np.cumsum(n[own])])
-            at = np.arange(to[-1]) + np.repeat(offset[own] - to[:-1], n[own])
-            each = self.languages[lang].score(words[at], stems[at], to)
-            apart = each[1] - each[0]
-            apart[np.abs(apart) < self.margin] = 0
-            ll[:, own] = np.add.reduceat(each, to[:-1], axis=1) / n[own]
-            score[own] = np.add.reduceat(np.maximum(apart, 0), to[:-1]) / n[own]
-        return n, ll[0], ll[1], score
 
+def _threshold(score: np.ndarray, toxic: np.ndarray) -> tuple[int, float]:
+    """(errors, threshold) with the fewest errors, midway (in proportion) down
+    to the ordinary scores below, by a quarter at most, to leave room for
+    documents with fewer toxic words than these."""
+    cut = np.unique(score[score > 0])
+    if not len(cut):
+        return int(toxic.sum()), float("inf")
+    ordinary, bad = np.sort(score[~toxic]), np.sort(score[toxic])
+    wrong = len(ordinary) - np.searchsorted(ordinary, cut) + np.searchsorted(bad, cut)
+    at = len(cut) - 1 - int(np.argmin(wrong[::-1]))
+    below = ordinary[ordinary < cut[at]]
+    return int(wrong[at]), float(np.sqrt(max(below.max() if len(below) else 0.0, cut[at] / 4) * cut[at]))
 
-def fit(sample: pd.DataFrame, discount: float = 4.0, margin: float = 3.0) -> Model:
-    """A model of rows with ``text``, ``lang`` and ``toxic`` (0 or 1).
 
-    A language needs rows of both classes; others, and documents without a
-    language, are scored by a model of all rows. A sample that lacks a class
-    gives a model that finds nothing."""
+def fit(sample: pd.DataFrame, discounts: tuple[float, ...] = DISCOUNTS, margin: float = 3.0) -> Model:
+    """A model of rows with ``text`` and ``toxic`` (0 or 1). A sample that
+    lacks a class gives a model that finds nothing."""
     sample = sample[sample["text"].notna()].reset_index(drop=True)
-    model = Model(margin=margin, threshold=float("inf"))
-    toxic = sample["toxic"].to_numpy() == 1
-    if not toxic.any() or toxic.all():
-        return model
-    # of equal text count one row, and none if it has both labels
-    label = sample.groupby("text")["toxic"].agg(["min", "max"])
-    clear = label[label["min"] == label["max"]].index
-    sample = sample[sample["text"].isin(clear)].drop_duplicates("text").reset_index(drop=True)
-    toxic = sample["toxic"].to_numpy() == 1
+    if not len(sample):
+        return Model.empty()
+    # a family of copies would pass for evidence: of each, one row of a label counts
+    table = pa.table({"text": pa.array(sample["text"], pa.large_string())})
+    family = groups([part.column("text") for part in pieces(table, "text")])
+    first = ~pd.DataFrame({"family": family, "toxic": sample["toxic"]}).duplicated().to_numpy()
+    table, toxic = table.filter(pa.array(first)), sample["toxic"].to_numpy()[first] == 1
     if not toxic.any() or toxic.all():
-        return model
-    texts = pa.array(sample["text"], pa.large_string())
-    words, offset, stems = word_hashes(texts, STEM)
-    lang = sample["lang"].where(sample["lang"].notna(), None).to_numpy(dtype=object)
+        return Model.empty()
+    hashed = [word_hashes(part.column("text"), STEM) for part in pieces(table, "text")]
+    words, stems = (np.concatenate([x[i] for x in hashed]) for i in (0, 2))
+    offset = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(x[1]) for x in hashed]))]).astype(np.int64)
+    del hashed, table
 
     def part(rows: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         n = np.diff(offset)[rows]
@@ -208,75 +221,91 @@ def fit(sample: pd.DataFrame, discount: float = 4.0, margin: float = 3.0) -> Mod
         at = np.arange(to[-1]) + np.repeat(offset[rows] - to[:-1], n)
         return words[at], to, stems[at]
 
-    for name in ["", *sorted({x for x in lang if x})]:
-        own = np.ones(len(lang), bool) if name == "" else lang == name
-        split = [part(np.flatnonzero(own & ~toxic)), part(np.flatnonzero(own & toxic))]
-        if all(len(w) for w, _, _ in split):
-            model.languages[name] = _fit_language(split, discount)
-    if not model.languages:
+    def estimate(rows: np.ndarray, discount: float) -> Model:
+        model = _estimate([part(rows[~toxic[rows]]), part(rows[toxic[rows]])], discount)
+        model.margin = margin
         return model
-    score = model.scores(texts, list(lang))[3]
-    cut = np.unique(score[score > 0])
-    ordinary, bad = np.sort(score[~toxic]), np.sort(score[toxic])
-    wrong = len(ordinary) - np.searchsorted(ordinary, cut) + np.searchsorted(bad, cut)
-    if len(cut):
-        best = cut[np.argmin(wrong)]
-        below = ordinary[ordinary < best]
-        # leave room for denser and thinner documents than the sample has
-        model.threshold = float(np.sqrt(max(below.max() if len(below) else 0.0, best / 4) * best))
+
+    # every other row of each class is held out
+    turn = np.where(toxic, np.cumsum(toxic), np.cumsum(~toxic)) % 2
+    held, used = np.flatnonzero(turn == 0), np.flatnonzero(turn == 1)
+    found = []
+    for discount in discounts:
+        model, score = estimate(used, discount), []
+        for rows in np.array_split(held, len(held) // 500 + 1):
+            w, to, s = part(rows)
+            score.append(model.averages(w, s, to)[3])
+        found.append((*_threshold(np.concatenate(score), toxic[held]), discount))
+    _, threshold, discount = min(found, key=lambda x: (x[0], -x[2]))
+    model = estimate(np.arange(len(toxic)), discount)
+    model.threshold = threshold
     return model
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, per_class: int = 4000) -> pd.DataFrame:
-    """At most per_class rows of each class, those of least hash of doc_id, so
-    that a row's place in the sample doesn't depend on where it is stored."""
+def labelled_sample(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE) -> DataFrame:
+    """At most ``most`` labelled rows of each class, those of least hash of
+    doc_id, so that a row's place doesn't depend on where it is stored."""
     marks = Rows(labels)
     known = marks.df.select(marks["doc_id"].alias("id"), marks["toxic"].alias("toxic")).where("id is not null and toxic in (0, 1)").groupBy("id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("h", F.xxhash64("id", F.lit(11)))
     chosen = None
     for value in (0, 1):
-        one = known.where(F.col("toxic") == value).orderBy("h", "id").limit(per_class)
+        one = known.where(F.col("toxic") == value).orderBy("h", "id").limit(most[value])
         chosen = one if chosen is None else chosen.unionByName(one)
     rows = Rows(docs)
-    texts = rows.df.select(rows["doc_id"].alias("id"), rows["text"].alias("text"), rows["lang"].alias("lang"))
-    # 2 * per_class ids at most
-    found = texts.join(F.broadcast(chosen.select("id", "toxic")), "id").select("id", "text", "lang", "toxic").toPandas()
-    return found.sort_values(["id", "text"], na_position="last").reset_index(drop=True)
+    texts = rows.df.select(rows["doc_id"].alias("id"), rows["text"].alias("text"))
+    # sum(most) ids at most
+    return texts.join(F.broadcast(chosen.select("id", "toxic")), "id").select("id", "text", "toxic")
+
+
+def _fitted(docs: DataFrame, labels: DataFrame, most: tuple[int, int], discounts: tuple[float, ...], margin: float) -> Broadcast:
+    """A model for all tasks. It is fitted in one task, as the sample is
+    bounded, and only the model passes through the driver."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        rows = pa.Table.from_batches(held).to_pandas() if held else pd.DataFrame({"id": [], "text": [], "toxic": []})
+        del held
+        rows = rows.sort_values(["id", "text"], na_position="last").reset_index(drop=True)
+        yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(rows, discounts, margin))], pa.binary())], ["model"])
+
+    got = labelled_sample(docs, labels, most).repartition(1).mapInArrow(run, "model binary").collect()
+    model = pickle.loads(got[0][0]) if got else Model.empty()  # noqa: S301, it is our own
+    return docs.sparkSession.sparkContext.broadcast(model)
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: float = 4.0, margin: float = 3.0) -> DataFrame:
+def toxicity_scores(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, discounts: tuple[float, ...] = DISCOUNTS, margin: float = 3.0) -> DataFrame:
     """doc_id, n_words, ll_ordinary, ll_toxic, score and is_toxic of every row of docs.
 
-    ``per_class`` bounds the labelled rows that the models are fitted on.
-    Null or empty texts, and texts without words, score 0 and aren't toxic. A
-    null language is scored by the model of all languages, a null doc_id is
-    carried along, repeated rows are scored one by one. Labels with a null id
+    ``most`` bounds the labelled rows that the models are fitted on, ordinary
+    and toxic. Null or empty texts, and texts without words, score 0 and aren't
+    toxic. A null doc_id is carried along, repeated rows are scored one by one. Labels with a null id
     or a value other than 0 and 1 are ignored; without labels of both classes
     nothing is toxic. Other columns of either table are not looked at."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, per_class), discount, margin))
+    model = _fitted(docs, labels, most, discounts, margin)
     rows = Rows(docs)
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, "text"):
-                n, ordinary, toxic, score = model.value.scores(part.column("text"), part.column("lang").to_pylist())
+                n, ordinary, toxic, score = model.value.scores(part.column("text"))
                 yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(n, pa.int64()), pa.array(ordinary), pa.array(toxic), pa.array(score), pa.array(score > model.value.threshold)], ["doc_id", "n_words", "ll_ordinary", "ll_toxic", "score", "is_toxic"])
 
-    asked = rows.df.select(rows["doc_id"].cast("long").alias("doc_id"), rows["text"].alias("text"), rows["lang"].alias("lang"))
+    asked = rows.df.select(rows["doc_id"].cast("long").alias("doc_id"), rows["text"].alias("text"))
     return asked.mapInArrow(score, "doc_id long, n_words long, ll_ordinary double, ll_toxic double, score double, is_toxic boolean")
 
 
-def keep_ordinary(docs: DataFrame, labels: DataFrame, per_class: int = 4000, discount: float = 4.0, margin: float = 3.0) -> DataFrame:
+def keep_ordinary(docs: DataFrame, labels: DataFrame, most: tuple[int, int] = SAMPLE, discounts: tuple[float, ...] = DISCOUNTS, margin: float = 3.0) -> DataFrame:
     """docs without its toxic documents; all columns, and the same defined
     results as toxicity_scores(). Rows pass through whole, without a join."""
-    model = docs.sparkSession.sparkContext.broadcast(fit(labelled_sample(docs, labels, per_class), discount, margin))
+    model = _fitted(docs, labels, most, discounts, margin)
     rows = Rows(docs)
-    text, lang = rows.own[rows.names.index("text")], rows.own[rows.names.index("lang")]
+    text = rows.own[rows.names.index("text")]
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in pieces(batch, text):
-                score = model.value.scores(part.column(text), part.column(lang).to_pylist())[3]
+                score = model.value.scores(part.column(text))[3]
                 yield part.filter(pa.array(score <= model.value.threshold))
 
     return rows.give(rows.df.mapInArrow(keep, rows.df.schema))
