@@ -1 +1 @@
-
+"""Readers of tables, signals, pictures and annotations."""

@@ -41,7 +41,7 @@ def listed_images(spark: SparkSession, path: str, column: str = "image") -> Data
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(images, annotations, categories) of a COCO file."""
-    text = spark.read.option("wholetext", "true").text(path)
+    text = spark.read.text(path, wholetext=True)
     whole = text.select(F.from_json("value", ANNOTATIONS).alias("d")).select("d.*")
     each = lambda c: whole.select(F.explode(c).alias("e")).select("e.*")
     annotations = whole.select(F.posexplode("annotations").alias("pos", "e")).select("pos", "e.*")

@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 def read_headers(spark: SparkSession, path: str) -> DataFrame:
     """record, n_sig, fs, n_samples, leads, files, offset, gains, baselines,
     age, sex and dx of each header file below path."""
-    text = spark.read.option("wholetext", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.hea").text(path)
+    text = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.hea").text(path, wholetext=True)
     lines = F.split(F.col("value"), r"\r?\n")
     head = F.split(F.get(lines, F.lit(0)), r"\s+")
     n = F.get(head, F.lit(1)).cast("int")
