@@ -19,6 +19,17 @@ def vectors(spark, points):
     return spark.createDataFrame([(i, [float(x) for x in p]) for i, p in enumerate(points)], "id long, v array<double>")
 
 
+def test_shape_of_point_sets(spark):
+    turn = np.linspace(0, 2 * np.pi, 48, endpoint=False)
+    ring, disc = np.column_stack([np.cos(turn), np.sin(turn)]), np.random.default_rng(6).uniform(-1, 1, size=(48, 2))
+    one = features.holes(ring, np.arange(0, 48, 4), 0.9, 5)
+    assert one[1] > 0.5 and one[2:].sum() == 0 and one.sum() == pytest.approx(1)
+    a, b = vectors(spark, ring), vectors(spark, disc)
+    assert value(features.geometry_score(a, a, 4)) == 0.0 and value(features.geometry_score(a, b, 4, landmarks=12)) > 0
+    assert value(features.intrinsic_distance(a, a)) == 0.0 and value(features.intrinsic_distance(a, b)) > 0
+    assert features.neighbour_edges(a, 2, 7).count() == 48  # each has its two neighbours on the ring
+
+
 def long(spark, x):
     """(signals, steps, channels) as rows."""
     n, length, channels = x.shape

@@ -113,5 +113,7 @@ QUERIES = {
     "feat_frechet": (lambda s, d: features.frechet(*vectors(s, d)), None),
     "feat_prd": (lambda s, d: features.prd(*vectors(s, d)), None),
     "feat_prd_curve": (_shares, _PRD),
+    "feat_msid": (lambda s, d: features.intrinsic_distance(*vectors(s, d)), None),
+    "feat_geometry_score": (lambda s, d: features.geometry_score(*vectors(s, d)), None),
     "feat_giqa": (lambda s, d: features.giqa(*vectors(s, d)), None),
 }
