@@ -218,7 +218,7 @@ def features(signals: DataFrame) -> DataFrame:
         F.try_divide(F.covar_pop("t", "v"), F.var_pop("t")).alias("slope"), F.avg(F.col("v") * F.col("b")).alias("_vb"), F.avg(F.when(F.col("b").isNotNull(), F.col("v"))).alias("_v"), F.avg("b").alias("_b"),
     )
     out = n.select("signal", "channel", "n", "mean", "std", "var", "min", "max", F.col("q")[1].alias("median"), (F.col("q")[2] - F.col("q")[0]).alias("iqr"), "skewness", "kurtosis", "abs_energy", "rms", "zero_crossings", "mean_diff", "mean_abs_diff", "sum_abs_diff", "slope", F.try_divide(F.col("_vb") - F.col("_v") * F.col("_b"), "var").alias("autocorrelation"))
-    return out.select(*(F.round(c, 6).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
+    return out.select(*(F.round(c, 8).alias(c) if t == "double" else F.col(c) for c, t in out.dtypes))
 
 
 def spectral_features(signals: DataFrame, fs: int = 1) -> DataFrame:

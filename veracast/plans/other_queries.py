@@ -26,8 +26,8 @@ _FEATURES = f"""{_S}, x as (select *, t::double as u, lag(v) over (partition by
     sum(v * v) as abs_energy, sqrt(avg(v * v)) as rms, sum((coalesce(v * b < 0, false))::int)::bigint as zero_crossings, avg(v - b) as mean_diff, avg(abs(v - b)) as mean_abs_diff, sum(abs(v - b)) as sum_abs_diff, covar_pop(u, v) / var_pop(u) as slope,
     (avg(v * b) - avg(case when b is not null then v end) * avg(b)) / var_pop(v) as autocorrelation from x group by 1),
   m as (select signal, avg(pow(v - mean, 3)) as m3, avg(pow(v - mean, 4)) as m4 from signals join n using (signal) group by 1)
-  select signal, 0 as channel, n, {", ".join(f"round({c}, 6) as {c}" for c in ("mean", "std", "var", "min", "max", "median", "iqr"))}, round(m3 / pow(std, 3), 6) as skewness, round(m4 / pow(var, 2) - 3, 6) as kurtosis,
-    round(abs_energy, 6) as abs_energy, round(rms, 6) as rms, zero_crossings, {", ".join(f"round({c}, 6) as {c}" for c in ("mean_diff", "mean_abs_diff", "sum_abs_diff", "slope", "autocorrelation"))} from n join m using (signal)"""
+  select signal, 0 as channel, n, {", ".join(f"round({c}, 8) as {c}" for c in ("mean", "std", "var", "min", "max", "median", "iqr"))}, round(m3 / pow(std, 3), 8) as skewness, round(m4 / pow(var, 2) - 3, 8) as kurtosis,
+    round(abs_energy, 8) as abs_energy, round(rms, 8) as rms, zero_crossings, {", ".join(f"round({c}, 8) as {c}" for c in ("mean_diff", "mean_abs_diff", "sum_abs_diff", "slope", "autocorrelation"))} from n join m using (signal)"""
 
 
 def _pair(of):
