@@ -152,6 +152,15 @@ def test_licenses_are_found_and_confirmed(spark):
         licenses.Scanner({"none": "words only"})
 
 
+def test_licenses_in_long_lines(spark):
+    rng = random.Random(13)
+    names = list(licenses.TEMPLATES)
+    rows = [(i, f"{prose(rng, n)} {licenses.TEMPLATES[name]} {prose(rng, n)}".replace("\n", " ")) for i, (n, name) in enumerate((n, name) for n in (400, 10_000) for name in names)]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.license for r in got} == dict(enumerate(names * 2)) and len(got) == len(rows)
+    assert all(r.words_lacking == r.words_inserted == 0 < r.bytes_saved for r in got)
+
+
 # --- 2 HTML -----------------------------------------------------------------
 
 

@@ -1,10 +1,12 @@
 """License scans by conditional compression.
 
-A template's words serve as a raw zstandard dictionary. A block that is close
-to the template compresses to far fewer bytes with the dictionary than
-without; templates are ranked by that reduction. The best ones are then
-confirmed by wording: the template is aligned with the block word by word, and
-the words that are missing, changed or inserted are counted exactly.
+A template's words serve as a raw zstandard dictionary. Words that are close
+to the template compress to far fewer bytes with the dictionary than without.
+Templates are confirmed by wording: the template is aligned with a span of the
+block word by word, and the words that are missing, changed or inserted are
+counted exactly. Of confirmed templates that overlap, the reduction in their
+own spans decides, and only that: it never excludes a template, however long
+the text round it.
 
 Which documents reach Python is decided by substring tests in the JVM. Every
 template must hold one of ANCHORS, so a text without any is never a match.
@@ -17,6 +19,7 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
@@ -99,44 +102,85 @@ class Scanner:
             raw = zstandard.ZstdCompressionDict(" ".join(own).encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT)
             self.given[name] = zstandard.ZstdCompressor(level=level, dict_data=raw)
 
-    def ranked(self, block: list[str]) -> list[tuple[int, str]]:
-        """(bytes saved by the template's dictionary, template), most first, of those that save any."""
-        data = " ".join(block).encode()
-        plain = len(self.plain.compress(data))
-        saved = [(plain - len(c.compress(data)), name) for name, c in self.given.items()]
-        return sorted(((s, n) for s, n in saved if s > 0), key=lambda x: (-x[0], x[1]))
+    def saved(self, name: str, part: list[str]) -> int:
+        """Bytes saved by the template's dictionary."""
+        data = " ".join(part).encode()
+        return len(self.plain.compress(data)) - len(self.given[name].compress(data))
 
-    def differences(self, name: str, block: list[str]) -> tuple[int, int]:
-        """(template's words that the block lacks or has otherwise, words
-        inserted between the template's first and last that it has)."""
+    def aligned(self, name: str, part: list[str], tolerance: float) -> tuple[int, int, int, int] | None:
+        """(start, end, template's words that the span lacks or has otherwise,
+        words inserted) of the span with the fewest of both, if confirmed."""
         own = self.words[name]
-        match = [m for m in difflib.SequenceMatcher(None, own, block, autojunk=False).get_matching_blocks() if m.size]
-        if not match:
-            return len(own), 0
-        same = sum(m.size for m in match)
-        return len(own) - same, match[-1].b + match[-1].size - match[0].b - same
-
-    def scan(self, block: str, tolerance: float, keep: int) -> tuple[str, int, int, int] | None:
-        """(template, bytes saved, words lacking, words inserted) of the best
-        confirmed template. Templates are tried in the order of bytes saved;
-        those within ``keep`` bytes of the first that is confirmed are compared
-        with it, and the fewest differences for a word of the template win."""
-        text = words(block)
-        there = Counter(text)
-        best, first = None, 0
-        for saved, name in self.ranked(text):
-            if best and saved < first - keep:
-                break
-            if (self.counted[name] & there).total() < (1 - tolerance) * len(self.words[name]):
+        match = [m for m in difflib.SequenceMatcher(None, own, part, autojunk=False).get_matching_blocks() if m.size]
+        best, run = None, None
+        for m in match:  # a stray word far from the others costs more than it gives
+            gap = m.b - run[1] if run else 0
+            if run and run[3] >= gap:
+                run = (run[0], m.b + m.size, run[2] + m.size, run[3] - gap + m.size)
+            else:
+                run = (m.b, m.b + m.size, m.size, m.size)
+            if best is None or run[3] >= best[3]:
+                best = run
+        if best is None:
+            return None
+        start, end, same, _ = best
+        lacking, inserted = len(own) - same, end - start - same
+        return (start, end, lacking, inserted) if lacking + inserted <= tolerance * len(own) else None
+
+    def spans(self, name: str, block: list[str], tolerance: float) -> list[tuple[int, int, int, int]]:
+        """Disjoint spans of the block that the template is confirmed for, as
+        aligned() has them. A confirmed span lies in a window of ``width``
+        words with ``need`` of the template's, so only such windows are aligned."""
+        counted, n = self.counted[name], len(self.words[name])
+        need, width, step = (1 - tolerance) * n - 1e-9, int((1 + tolerance) * n + 1e-9), max(1, n // 4)
+        starts: list[int] = []
+        have: Counter = Counter()
+        same = 0
+        for i, word in enumerate(block):
+            if word in counted:
+                have[word] += 1
+                same += have[word] <= counted[word]
+            if i >= width and (gone := block[i - width]) in counted:
+                same -= have[gone] <= counted[gone]
+                have[gone] -= 1
+            if same >= need:
+                starts.append(max(0, i - width + 1))
+        out: list[tuple[int, int, int, int]] = []
+        k = done = 0
+        while k < len(starts):
+            best = None
+            while k < len(starts) and (best is None or starts[k] <= best[0]):
+                s = max(starts[k], done)
+                got = self.aligned(name, block[s : starts[k] + width + step], tolerance)
+                if got:
+                    got = (got[0] + s, got[1] + s, *got[2:])
+                    if best is None or got[0] < best[1] and sum(got[2:]) < sum(best[2:]):
+                        best = got
+                k = bisect_right(starts, starts[k] + step)
+            if best:
+                out.append(best)
+                done = best[1]
+                k = bisect_left(starts, done + need - width)
+        return out
+
+    def scan(self, block: list[str], tolerance: float, keep: int) -> tuple[int, str, int, int, int] | None:
+        """(start, template, bytes saved, words lacking, words inserted) of the
+        best confirmed template: the one whose dictionary saves most in its
+        span; of those within ``keep`` bytes of it that overlap it, the one of
+        fewest differences for a word of the template."""
+        there = Counter(block)
+        found = []
+        for name, own in self.words.items():
+            if (self.counted[name] & there).total() < (1 - tolerance) * len(own) - 1e-9:
                 continue
-            lacking, inserted = self.differences(name, text)
-            share = (lacking + inserted) / len(self.words[name])
-            if share <= tolerance:
-                first = first or saved
-                rank = (share, -len(self.words[name]), name)
-                if best is None or rank < best[0]:
-                    best = (rank, (name, saved, lacking, inserted))
-        return best and best[1]
+            for start, end, lacking, inserted in self.spans(name, block, tolerance):
+                rank = ((lacking + inserted) / len(own), -len(own), name)
+                found.append((self.saved(name, block[start:end]), rank, start, end, (start, name), (lacking, inserted)))
+        if not found:
+            return None
+        first = min(found, key=lambda x: (-x[0], x[1]))
+        best = min((x for x in found if x[0] >= first[0] - keep and x[2] < first[3] and first[2] < x[3]), key=lambda x: x[1])
+        return (*best[4], best[0], *best[5])
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.2, keep: int = 16, gap: int = 2) -> DataFrame:
@@ -162,8 +206,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance:
                 got = []
                 for id_, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     for line, block in candidate_blocks(text, gap):
-                        if found := scanner.scan(block, tolerance, keep):
-                            got.append((id_, line, *found))
+                        if found := scanner.scan(words(block), tolerance, keep):
+                            got.append((id_, line, *found[1:]))
                 columns = list(zip(*got)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "line", "license", "bytes_saved", "words_lacking", "words_inserted"])
