@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import random
 import re
+import textwrap
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -161,6 +162,19 @@ def test_licenses_in_long_lines(spark):
     assert all(r.words_lacking == r.words_inserted == 0 < r.bytes_saved for r in got)
 
 
+def test_licenses_in_wrapped_lines(spark):
+    rng = random.Random(14)
+    rows, want = [], {}
+    for width in (30, 70, 80):
+        for mark in ("", "# ", " * "):
+            for name, template in licenses.TEMPLATES.items():
+                lines = [x for p in template.split("\n") for x in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+                want[len(rows)] = (name, 2)
+                rows.append((len(rows), "\n".join([prose(rng, 9), "", *(mark + x for x in lines), prose(rng, 9)])))
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: (r.license, r.line) for r in got} == want and len(got) == len(rows)
+
+
 # --- 2 HTML -----------------------------------------------------------------
 
 

@@ -10,9 +10,10 @@ the text round it.
 
 Which documents reach Python is decided by substring tests in the JVM. Every
 template must hold one of ANCHORS, so a text without any is never a match.
-Within a document, a candidate block is a run of lines with an anchor and the
-``gap`` lines before and after each of them. A template is aligned only if it
-could be confirmed: if enough of its words, counted with repeats, are there.
+Within a document, a candidate block is a run of words round anchors that
+reaches as far before and after each of them as the longest template could, so
+it doesn't matter how lines are wrapped. A template is aligned only where it
+could be confirmed: where enough of its words, counted with repeats, are there.
 """
 
 from __future__ import annotations
@@ -66,6 +67,9 @@ Anyone is free to copy, modify, publish, use, compile, sell, or distribute this
     "proprietary-notice": "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.",
 }
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+#: the words of an anchor may stand on two lines, with the marks of a comment between them
+_BETWEEN = "[^0-9a-z]+"
+_ANCHOR = re.compile("|".join(a.replace(" ", _BETWEEN) for a in ANCHORS))
 
 
 def words(text: str) -> list[str]:
@@ -73,18 +77,29 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def candidate_blocks(text: str, gap: int = 2) -> list[tuple[int, str]]:
-    """(number of the first line with an anchor, text) of each candidate block."""
-    lines = text.split("\n")
-    out: list[tuple[int, int]] = []
-    for i, line in enumerate(lines):
-        low = line.lower()
-        if any(a in low for a in ANCHORS):
-            if out and i - out[-1][1] <= 2 * gap + 1:
-                out[-1] = (out[-1][0], i)
-            else:
-                out.append((i, i))
-    return [(a, "\n".join(lines[max(0, a - gap) : b + gap + 1])) for a, b in out]
+def candidate_blocks(text: str, reach: int) -> list[tuple[list[str], list[int]]]:
+    """(words, numbers of their lines) of each candidate block: a run of words
+    that have an anchor at most ``reach`` words off, however lines are wrapped."""
+    low = text.lower()
+    found = list(_WORD.finditer(low))
+    at = [m.start() for m in found]
+    runs: list[list[int]] = []
+    for m in _ANCHOR.finditer(low):
+        i = max(0, bisect_right(at, m.start()) - 1)
+        if runs and i - reach <= runs[-1][1]:
+            runs[-1][1] = i + reach + 1
+        else:
+            runs.append([max(0, i - reach), i + reach + 1])
+    out = []
+    for a, b in runs:
+        part, lines, line, seen = [], [], low.count("\n", 0, at[a]) if at else 0, at[a] if at else 0
+        for m in found[a:b]:
+            line += low.count("\n", seen, m.start())
+            seen = m.start()
+            part.append(m[0])
+            lines.append(line)
+        out.append((part, lines))
+    return out
 
 
 class Scanner:
@@ -183,10 +198,11 @@ class Scanner:
         return (*best[4], best[0], *best[5])
 
 
-def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.2, keep: int = 16, gap: int = 2) -> DataFrame:
+def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.2, keep: int = 16) -> DataFrame:
     """doc_id, line, license, bytes_saved, words_lacking and words_inserted of
     every candidate block that a template is confirmed for, by wording that
-    differs in at most ``tolerance`` of the template's words.
+    differs in at most ``tolerance`` of the template's words. ``line`` is the
+    number, from 0, of the line on which that wording begins.
 
     Null and empty texts have no blocks. A null doc_id is carried along,
     repeated rows are scanned one by one, ties between templates go to the
@@ -197,17 +213,18 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance:
     rows = Rows(docs)
     asked = rows.df.select(rows["doc_id"].cast("long").alias("doc_id"), rows["text"].alias("text"))
     low = F.lower("text")
-    asked = asked.where(reduce(lambda a, b: a | b, (F.contains(low, F.lit(a)) for a in ANCHORS)))
+    asked = asked.where(reduce(lambda a, b: a | b, (low.rlike(a.replace(" ", _BETWEEN)) if " " in a else F.contains(low, F.lit(a)) for a in ANCHORS)))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scanner = scanner_of()
+        reach = int((1 + tolerance) * max(map(len, scanner.words.values()))) + 1
         for batch in batches:
             for part in pieces(batch, "text"):
                 got = []
                 for id_, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
-                    for line, block in candidate_blocks(text, gap):
-                        if found := scanner.scan(words(block), tolerance, keep):
-                            got.append((id_, line, *found[1:]))
+                    for block, lines in candidate_blocks(text, reach):
+                        if found := scanner.scan(block, tolerance, keep):
+                            got.append((id_, lines[found[0]], *found[1:]))
                 columns = list(zip(*got)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "line", "license", "bytes_saved", "words_lacking", "words_inserted"])
