@@ -168,13 +168,41 @@ def test_licenses_in_wrapped_lines(spark):
     for width in (30, 70, 80):
         for mark in ("", "# ", " * "):
             for name, template in licenses.TEMPLATES.items():
-                lines = [x for p in template.split("\n") for x in [*textwrap.wrap(p, width, break_on_hyphens=False), ""]]
+                lines = [x for p in template.split("\n") for x in [*textwrap.wrap(p, width, break_long_words=False, break_on_hyphens=False), ""]]
                 want[len(rows)] = (name, 2)
                 rows.append((len(rows), "\n".join([prose(rng, 9), "", *(mark + x for x in lines), prose(rng, 9)])))
     got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
     assert {r.doc_id: (r.license, r.line) for r in got} == want and len(got) == len(rows)
 
 
+def test_deciding_words_are_not_within_tolerance():
+    cc, gnu = "This work is licensed under a Creative Commons {} International License.", "This work is licensed under the GNU {}."
+    gpl = licenses.TEMPLATES["GPL-3.0-or-later"]
+    texts = {
+        cc.format("Attribution 4.0"): "CC-BY-4.0-notice",
+        cc.format("Attribution-NonCommercial 4.0"): "CC-BY-NC-4.0-long-notice",
+        cc.format("Attribution-NonCommercial-ShareAlike 4.0"): "CC-BY-NC-SA-4.0-notice",
+        cc.format("Attribution-NoDerivatives 4.0"): "CC-BY-ND-4.0-notice",
+        cc.format("Attribution 3.0"): None,
+        "Licensed under CC BY-NC-SA 4.0.": None,
+        gnu.format("General Public License, version 3.0"): "GPL-3.0-notice",
+        gnu.format("Lesser General Public License, version 3"): "LGPL-3.0-notice",
+        gnu.format("Affero General Public License, version 3"): "AGPL-3.0-notice",
+        "This work is licensed under the Eclipse Public License, version 2.": None,
+        "Licensed under the Apache License, Version 1.1.": "Apache-1.1-notice",
+        "Licensed under the Mozilla License, Version 2.0.": None,
+        "Released under the BSD License.": None,
+        gpl: "GPL-3.0-or-later",
+        gpl.replace("version 3", "version 2"): "GPL-2.0-or-later",
+        gpl.replace("GNU General", "GNU Lesser General"): "LGPL-3.0-or-later",
+        gpl.replace("GNU General", "GNU Library General").replace("version 3", "version 2"): None,
+        gpl.replace("GNU General", "GNU Affero General"): "AGPL-3.0-or-later",
+        gpl.replace("either version 3 of the License, or (at your option) any later version", "version 3 of the License"): None,
+    }
+    scanner = licenses.Scanner()
+    assert {t: (scanner.scan(licenses.words(t), 0.2, 16) or [0, None])[1] for t in texts} == texts
+
+
 # --- 2 HTML -----------------------------------------------------------------
 
 

@@ -4,7 +4,9 @@ A template's words serve as a raw zstandard dictionary. Words that are close
 to the template compress to far fewer bytes with the dictionary than without.
 Templates are confirmed by wording: the template is aligned with a span of the
 block word by word, and the words that are missing, changed or inserted are
-counted exactly. Of confirmed templates that overlap, the reduction in their
+counted exactly. Words that decide which licence it is (version numbers,
+NonCommercial, Lesser and the like) aren't within the tolerance: they must
+agree. Of confirmed templates that overlap, the reduction in their
 own spans decides, and only that: it never excludes a template, however long
 the text round it.
 
@@ -42,6 +44,9 @@ _BSD = """Redistribution and use in source and binary forms, with or without mod
 2. Redistributions in binary form must reproduce the above copyright notice, this list of conditions and the following disclaimer in the documentation and/or other materials provided with the distribution."""
 _BSD_THIRD = "3. Neither the name of the copyright holder nor the names of its contributors may be used to endorse or promote products derived from this software without specific prior written permission."
 _BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_GPL = """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
+This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
+You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>."""
 TEMPLATES = {
     "MIT": _MIT,
     "MIT-notice": "Released under the MIT License.",
@@ -53,20 +58,36 @@ THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH RE
 http://www.apache.org/licenses/LICENSE-2.0
 Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an "AS IS" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied. See the License for the specific language governing permissions and limitations under the License.""",
     "Apache-2.0-notice": "Licensed under the Apache License, Version 2.0.",
-    "GPL-3.0-or-later": """This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.
-This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details.
-You should have received a copy of the GNU General Public License along with this program. If not, see <https://www.gnu.org/licenses/>.""",
+    "Apache-1.1-notice": "Licensed under the Apache License, Version 1.1.",
+    "GPL-3.0-or-later": _GPL,
+    "GPL-2.0-or-later": _GPL.replace("version 3", "version 2"),
+    "LGPL-3.0-or-later": _GPL.replace("GNU General", "GNU Lesser General"),
+    "LGPL-2.1-or-later": _GPL.replace("GNU General", "GNU Lesser General").replace("version 3", "version 2.1"),
+    "AGPL-3.0-or-later": _GPL.replace("GNU General", "GNU Affero General"),
     "GPL-3.0-notice": "This work is licensed under the GNU General Public License, version 3.",
     "GPL-2.0-notice": "This work is licensed under the GNU General Public License, version 2.",
+    "LGPL-3.0-notice": "This work is licensed under the GNU Lesser General Public License, version 3.",
+    "LGPL-2.1-notice": "This work is licensed under the GNU Lesser General Public License, version 2.1.",
+    "AGPL-3.0-notice": "This work is licensed under the GNU Affero General Public License, version 3.",
     "CC-BY-NC-4.0-notice": "Licensed under CC BY-NC 4.0.",
     "CC-BY-4.0-notice": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "CC-BY-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
+    "CC-BY-NC-4.0-long-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
+    "CC-BY-NC-SA-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-ShareAlike 4.0 International License.",
+    "CC-BY-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NoDerivatives 4.0 International License.",
+    "CC-BY-NC-ND-4.0-notice": "This work is licensed under a Creative Commons Attribution-NonCommercial-NoDerivatives 4.0 International License.",
     "CC0-1.0-notice": "To the extent possible under law, the author has dedicated all copyright and related and neighboring rights to this work to the public domain worldwide.",
     "Unlicense": """This is free and unencumbered software released into the public domain.
 Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means.""",
     "proprietary-notice": "Copyright. All rights reserved. No part of this publication may be reproduced without prior written permission.",
 }
 _WORD = re.compile(r"[^\W_]+(?:\.\d+)*")
+#: words that make another licence of one: a span has none that the template lacks
+QUALIFIERS = frozenset("noncommercial nc noderivatives noderivs nd sharealike sa lesser library affero".split())
+#: words that name a licence: a span has all that the template has
+NAMES = QUALIFIERS | frozenset("mit apache gnu general creative commons cc later".split())
+#: a number after one of these is a version; others may be list marks or part of an address
+_BEFORE_VERSION = QUALIFIERS | frozenset("version v attribution by".split())
 #: the words of an anchor may stand on two lines, with the marks of a comment between them
 _BETWEEN = "[^0-9a-z]+"
 _ANCHOR = re.compile("|".join(a.replace(" ", _BETWEEN) for a in ANCHORS))
@@ -74,7 +95,18 @@ _ANCHOR = re.compile("|".join(a.replace(" ", _BETWEEN) for a in ANCHORS))
 
 def words(text: str) -> list[str]:
     """Lower-cased words; a version number is one."""
-    return _WORD.findall(text.lower())
+    return [_version(w) for w in _WORD.findall(text.lower())]
+
+
+def _version(word: str) -> str:
+    """3.0 and 3 are the same version, and so the same word."""
+    return word.removesuffix(".0")
+
+
+def deciding(text: list[str]) -> set[str]:
+    """The names, qualifiers and version numbers among the words of a licence."""
+    versions = {w for before, w in zip(text, text[1:]) if w[0].isdigit() and before in _BEFORE_VERSION}
+    return versions.union(NAMES.intersection(text))
 
 
 def candidate_blocks(text: str, reach: int) -> list[tuple[list[str], list[int]]]:
@@ -96,7 +128,7 @@ def candidate_blocks(text: str, reach: int) -> list[tuple[list[str], list[int]]]
         for m in found[a:b]:
             line += low.count("\n", seen, m.start())
             seen = m.start()
-            part.append(m[0])
+            part.append(_version(m[0]))
             lines.append(line)
         out.append((part, lines))
     return out
@@ -111,6 +143,7 @@ class Scanner:
                 raise ValueError(f"template {name} holds none of ANCHORS")
         self.words = {name: words(text) for name, text in templates.items()}
         self.counted = {name: Counter(own) for name, own in self.words.items()}
+        self.deciding = {name: deciding(own) for name, own in self.words.items()}
         self.plain = zstandard.ZstdCompressor(level=level)
         self.given = {}
         for name, own in self.words.items():
@@ -140,7 +173,12 @@ class Scanner:
             return None
         start, end, same, _ = best
         lacking, inserted = len(own) - same, end - start - same
-        return (start, end, lacking, inserted) if lacking + inserted <= tolerance * len(own) else None
+        if lacking + inserted > tolerance * len(own):
+            return None
+        there, want = deciding(part[start:end]), self.deciding[name]
+        if not want <= there or (there - want) & QUALIFIERS or any(w[0].isdigit() for w in there - want):
+            return None
+        return start, end, lacking, inserted
 
     def spans(self, name: str, block: list[str], tolerance: float) -> list[tuple[int, int, int, int]]:
         """Disjoint spans of the block that the template is confirmed for, as
@@ -201,7 +239,8 @@ class Scanner:
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.2, keep: int = 16) -> DataFrame:
     """doc_id, line, license, bytes_saved, words_lacking and words_inserted of
     every candidate block that a template is confirmed for, by wording that
-    differs in at most ``tolerance`` of the template's words. ``line`` is the
+    differs in at most ``tolerance`` of the template's words, and in none
+    of its deciding ones. ``line`` is the
     number, from 0, of the line on which that wording begins.
 
     Null and empty texts have no blocks. A null doc_id is carried along,
