@@ -200,7 +200,19 @@ def test_deciding_words_are_not_within_tolerance():
         gpl.replace("either version 3 of the License, or (at your option) any later version", "version 3 of the License"): None,
     }
     scanner = licenses.Scanner()
-    assert {t: (scanner.scan(licenses.words(t), 0.2, 16) or [0, None])[1] for t in texts} == texts
+    assert {t: next((x[1] for x in scanner.scan(licenses.words(t), 0.2, 16)), None) for t in texts} == texts
+
+
+def test_every_license_of_a_document_is_found(spark):
+    rng = random.Random(15)
+    names = list(licenses.TEMPLATES)
+    lists = [["MIT-notice", "Apache-2.0"], ["MIT", "GPL-3.0-or-later"], ["BSD-3-Clause"] * 3 + ["ISC"], names, names[::-1] + names]
+    rows = [(i, "\n".join(licenses.TEMPLATES[x] for x in own)) for i, own in enumerate(lists)]
+    rows += [(len(lists) + i, "\n".join(f"{prose(rng, 8)}\n{licenses.TEMPLATES[x]}" for x in own)) for i, own in enumerate(lists)]
+    got = licenses.licenses(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    for i, own in enumerate(lists + lists):
+        found = sorted((r.line, r.license) for r in got if r.doc_id == i)
+        assert [x for _, x in found] == own and len({x for x, _ in found}) == len(own)
 
 
 # --- 2 HTML -----------------------------------------------------------------

@@ -26,6 +26,7 @@ from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 import zstandard
@@ -134,6 +135,19 @@ def candidate_blocks(text: str, reach: int) -> list[tuple[list[str], list[int]]]
     return out
 
 
+class _Found(NamedTuple):
+    start: int
+    end: int
+    name: str
+    saved: int
+    lacking: int
+    inserted: int
+    rank: tuple[float, int, str]
+
+    def meets(self, other: _Found) -> bool:
+        return self.start < other.end and other.start < self.end
+
+
 class Scanner:
     """Templates with their dictionaries and compressors."""
 
@@ -216,29 +230,39 @@ class Scanner:
                 k = bisect_left(starts, done + need - width)
         return out
 
-    def scan(self, block: list[str], tolerance: float, keep: int) -> tuple[int, str, int, int, int] | None:
-        """(start, template, bytes saved, words lacking, words inserted) of the
-        best confirmed template: the one whose dictionary saves most in its
-        span; of those within ``keep`` bytes of it that overlap it, the one of
-        fewest differences for a word of the template."""
+    def scan(self, block: list[str], tolerance: float, keep: int) -> list[tuple[int, str, int, int, int]]:
+        """(start, template, bytes saved, words lacking, words inserted) of
+        every confirmed template, first to last. Where some overlap, the one
+        whose dictionary saves most in its span is looked at; of those within
+        ``keep`` bytes of it that overlap it, the one of fewest differences for
+        a word of the template is taken and the others that overlap this go.
+        Then the rest is looked at, until none is left."""
         there = Counter(block)
         found = []
         for name, own in self.words.items():
             if (self.counted[name] & there).total() < (1 - tolerance) * len(own) - 1e-9:
                 continue
             for start, end, lacking, inserted in self.spans(name, block, tolerance):
-                rank = ((lacking + inserted) / len(own), -len(own), name)
-                found.append((self.saved(name, block[start:end]), rank, start, end, (start, name), (lacking, inserted)))
-        if not found:
-            return None
-        first = min(found, key=lambda x: (-x[0], x[1]))
-        best = min((x for x in found if x[0] >= first[0] - keep and x[2] < first[3] and first[2] < x[3]), key=lambda x: x[1])
-        return (*best[4], best[0], *best[5])
+                found.append(_Found(start, end, name, self.saved(name, block[start:end]), lacking, inserted, ((lacking + inserted) / len(own), -len(own), name)))
+        found.sort()
+        out = []
+        while found:
+            reach, n = found[0].end, 1
+            while n < len(found) and found[n].start < reach:
+                reach, n = max(reach, found[n].end), n + 1
+            some, found = found[:n], found[n:]
+            while some:
+                first = min(some, key=lambda x: (-x.saved, x.rank))
+                best = min((x for x in some if x.saved >= first.saved - keep and x.meets(first)), key=lambda x: x.rank)
+                out.append((best.start, best.name, best.saved, best.lacking, best.inserted))
+                some = [x for x in some if not x.meets(best)]
+        return sorted(out)
 
 
 def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance: float = 0.2, keep: int = 16) -> DataFrame:
     """doc_id, line, license, bytes_saved, words_lacking and words_inserted of
-    every candidate block that a template is confirmed for, by wording that
+    every place that a template is confirmed for, several in a document or block
+    if there are, by wording that
     differs in at most ``tolerance`` of the template's words, and in none
     of its deciding ones. ``line`` is the
     number, from 0, of the line on which that wording begins.
@@ -262,8 +286,7 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance:
                 got = []
                 for id_, text in zip(part.column("doc_id").to_pylist(), part.column("text").to_pylist()):
                     for block, lines in candidate_blocks(text, reach):
-                        if found := scanner.scan(block, tolerance, keep):
-                            got.append((id_, lines[found[0]], *found[1:]))
+                        got += ((id_, lines[start], *found) for start, *found in scanner.scan(block, tolerance, keep))
                 columns = list(zip(*got)) or [()] * 6
                 kinds = [pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.int64()]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], ["doc_id", "line", "license", "bytes_saved", "words_lacking", "words_inserted"])
