@@ -674,6 +674,37 @@ def test_recall_at_moderate_similarity(spark):
     assert len(pairs) > 30 and sum(p in got for p in pairs) >= 0.9 * len(pairs)
 
 
+def test_rows_like_one_that_leaves_a_node_are_compared_with_it(spark):
+    rng = np.random.default_rng(16)
+    need = near_dedup.needed(0.5)
+    pivot = rng.integers(0, 128, near_dedup.COORDINATES).astype(np.uint8)
+    sketch, want = [pivot], set()
+    for i in range(30):
+        x = pivot.copy()
+        x[rng.permutation(128)[:45]] += 128  # like the pivot
+        y = x.copy()
+        y[np.flatnonzero(x == pivot)[:40]] ^= 192  # like x only
+        assert (x == pivot).sum() >= need > (y == pivot).sum() and (x == y).sum() >= need
+        sketch += [x, y]
+        want.add(2 * i + 2)
+    sketch += list(rng.integers(0, 256, (30, 128)).astype(np.uint8))
+    nodes = spark.createDataFrame([(7, i, bytearray(s.tobytes())) for i, s in enumerate(sketch)], "key long, id long, sketch binary")
+    big = spark.createDataFrame([(7,)], "key long")
+    for most in (50_000, 9):
+        edges, children = near_dedup._split(nodes, big, 0.5, 2, most)
+        found = {tuple(r) for e in edges for r in e.collect()}
+        assert found == {(i, 0) for i in range(1, 61)}
+        assert {r.id for r in children.collect()} == want | set(range(61, 91))
+    # in a task: 0 and 3 are compared with all, 1 is like both
+    rows = np.stack([pivot, pivot, pivot, pivot])
+    rows[1, :50] += 128
+    rows[3, :50] += 128
+    rows[3, 50:75] += 128
+    rows[2] ^= 85
+    edges = near_dedup.compare(np.array([4, 5, 6, 7]), rows, need, np.array([True, False, False, True]))
+    assert groups_of(edges) == {4: 4, 5: 4, 7: 4}
+
+
 def test_components(spark):
     rng = random.Random(12)
     edges = [(i, i + 1) for i in range(0, 40)] + [(rng.randrange(100, 300), rng.randrange(100, 300)) for _ in range(90)] + [(7, 7), (400, 399), (400, 399)]

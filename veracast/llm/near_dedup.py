@@ -87,7 +87,8 @@ def needed(threshold: float) -> int:
 def compare(ids: np.ndarray, sketch: np.ndarray, need: int, active: np.ndarray | None = None) -> list[tuple[int, int]]:
     """Edges from each member of a group of matching rows to its least id,
     by breadth-first search: what is matched already isn't compared again.
-    active: the rows that are compared with all rows; by default all are."""
+    active: the rows that are compared with all rows; by default all are. A
+    row that isn't active may be in the groups of several that are."""
     edges = []
     if active is None:
         active = np.ones(len(ids), bool)
@@ -108,6 +109,9 @@ def compare(ids: np.ndarray, sketch: np.ndarray, need: int, active: np.ndarray |
                 group += more
                 front += more
                 left = left[~equal]
+        passive = [x for x in group if not active[x]]
+        if passive:
+            left = np.union1d(left, passive)
         if len(group) > 1:
             members = ids[group]
             root = int(members.min())
@@ -194,9 +198,7 @@ def _edges(threshold: float, many: int, limit: int):
                 continue
             keys = batch.column("key").to_numpy(zero_copy_only=False)
             ids = batch.column("id").to_numpy(zero_copy_only=False)
-            data = batch.column("sketch")
-            sketch = np.frombuffer(data.buffers()[2], np.uint8)
-            sketch = sketch[: (data.offset + len(data)) * COORDINATES].reshape(-1, COORDINATES)[data.offset :]
+            sketch = _sketches(batch.column("sketch"))
             last = int(np.searchsorted(keys, keys[-1]))
             if last or held and held[-1][0][-1] != keys[0]:
                 yield out([*held, (keys[:last], ids[:last], sketch[:last])])
@@ -208,29 +210,76 @@ def _edges(threshold: float, many: int, limit: int):
     return edges
 
 
-def _split(nodes: DataFrame, big: DataFrame, threshold: float, many: int) -> DataFrame:
-    """One level for nodes too large for a task: rows like the node's pivot
-    (its least id) give an edge, ``root``; the others go to the node's children."""
+def _sketches(data: pa.Array) -> np.ndarray:
+    sketch = np.frombuffer(data.buffers()[2], np.uint8)
+    return sketch[: (data.offset + len(data)) * COORDINATES].reshape(-1, COORDINATES)[data.offset :]
+
+
+def _split(nodes: DataFrame, big: DataFrame, threshold: float, many: int, most: int = 50_000) -> tuple[list[DataFrame], DataFrame]:
+    """(edges, children's rows) of one level for nodes too large for a task.
+    Rows like the node's pivot (its least id) are of its group and go no
+    further, after they were compared with the node's other rows; these go to
+    the node's children.
+
+    Unequal bytes are a metric, so a row at distance d of the pivot needs
+    comparing only with those at most d + the largest distance of a match from
+    it. ``most`` bounds the rows of either side that a task compares."""
     need = needed(threshold)
+    reach = COORDINATES - need
     rows = nodes.join(big, "key")
     pivots = reliable(rows.groupBy("key").agg(F.min_by("sketch", "id").alias("pivot"), F.min("id").alias("first")))
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: dict[str, list] = {"key": [], "id": [], "sketch": [], "root": []}
-            for key, id_, sketch, pivot, first in zip(*(batch.column(c).to_pylist() for c in ("key", "id", "sketch", "pivot", "first"))):
-                s = np.frombuffer(sketch, np.uint8)
-                if id_ == first or (s == np.frombuffer(pivot, np.uint8)).sum() >= need:
-                    for name, x in zip(got, (key, id_, sketch, first)):
-                        got[name].append(x)
-                    continue
+            if batch.num_rows:
+                far = (_sketches(batch.column("sketch")) != _sketches(batch.column("pivot"))).sum(axis=1)
+                yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("key", "id", "sketch", "first")), pa.array(far, pa.int64())], ["key", "id", "sketch", "first", "far"])
+
+    marked = reliable(rows.join(small(pivots, 100_000), "key").select("key", "id", "sketch", "first", "pivot").mapInArrow(measure, "key long, id long, sketch binary, first long, far long"))
+    like = F.col("far") <= reach
+
+    def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            got: dict[str, list] = {"key": [], "id": [], "sketch": []}
+            for key, id_, sketch in zip(*(batch.column(c).to_pylist() for c in got)):
                 for c in _chosen(key, many):
-                    step = int(mix(np.array([((key & ((1 << 64) - 1)) ^ (int(c) << 8) ^ int(s[c]))], np.uint64))[0])
-                    for name, x in zip(got, (step - (1 << 64) if step >> 63 else step, id_, sketch, None)):
+                    step = int(mix(np.array([((key & ((1 << 64) - 1)) ^ (int(c) << 8) ^ int(sketch[c]))], np.uint64))[0])
+                    for name, x in zip(got, (step - (1 << 64) if step >> 63 else step, id_, sketch)):
                         got[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(got["key"], pa.int64()), pa.array(got["id"], pa.int64()), pa.array(got["sketch"], pa.binary()), pa.array(got["root"], pa.int64())], ["key", "id", "sketch", "root"])
-
-    return reliable(rows.join(small(pivots, 100_000), "key").mapInArrow(run, "key long, id long, sketch binary, root long"))
+            yield pa.RecordBatch.from_arrays([pa.array(got["key"], pa.int64()), pa.array(got["id"], pa.int64()), pa.array(got["sketch"], pa.binary())], ["key", "id", "sketch"])
+
+    def cross(left: pa.Table, right: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray]] = []
+        if left.num_rows and right.num_rows:
+            names = ["key", "l", "r", "id", "sketch", "first", "far"]
+            a, b = (t.rename_columns(names).sort_by("far").combine_chunks() for t in (left, right))
+            a_far, b_far = a["far"].to_numpy(), b["far"].to_numpy()
+            a_sketch, b_sketch = (_sketches(t["sketch"].combine_chunks()) for t in (a, b))
+            a_first, b_id, rest = a["first"].to_numpy(), b["id"].to_numpy(), np.arange(b.num_rows)
+            for i in range(a.num_rows - 1, -1, -1):
+                n = int(np.searchsorted(b_far[rest], a_far[i] + reach, side="right"))
+                if not n:
+                    break  # the next ones are nearer to the pivot still
+                hit = (b_sketch[rest[:n]] == a_sketch[i]).sum(axis=1) >= need
+                if hit.any():
+                    found.append((b_id[rest[:n][hit]], np.full(int(hit.sum()), a_first[i])))
+                    rest = np.concatenate([rest[:n][~hit], rest[n:]])
+        u, v = (np.concatenate([x[k] for x in found]) if found else np.zeros(0, np.int64) for k in (0, 1))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    widest = marked.where(like).groupBy("key").agg(F.max("far").alias("widest"))
+    asked = marked.join(small(reliable(widest), 100_000), "key").where(F.col("far") <= reach + F.col("widest")).drop("widest")
+    cells = reliable(asked.groupBy("key").agg(*(F.greatest(F.lit(1), F.ceil(F.sum(side.cast("long")) / most)).alias(n) for n, side in (("ln", like), ("rn", ~like)))))
+    asked = asked.join(small(cells, 100_000), "key")
+    own = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("long")
+    all_ = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n).cast("long") - 1))
+    left = asked.where(like).withColumn("l", own("ln")).withColumn("r", all_("rn"))
+    right = asked.where(~like).withColumn("l", all_("ln")).withColumn("r", own("rn"))
+    sides = [df.select("key", "l", "r", "id", "sketch", "first", "far") for df in (left, right)]
+    sides = [df.toDF(*(f"{c}{k}" for c in df.columns)).groupBy(f"key{k}", f"l{k}", f"r{k}") for k, df in enumerate(sides)]
+    crossed = sides[0].cogroup(sides[1]).applyInArrow(cross, "u long, v long")
+    edges = [marked.where(like & (F.col("id") != F.col("first"))).select(F.col("id").alias("u"), F.col("first").alias("v")), crossed]
+    return edges, reliable(marked.where(~like).select("key", "id", "sketch").mapInArrow(descend, "key long, id long, sketch binary"))
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -285,10 +334,10 @@ def duplicates(docs: DataFrame, threshold: float = 0.5, k: int = 3, trees: int =
         if big.isEmpty():
             break
         big = small(big, 100_000)
-        split = _split(nodes, big, threshold, many)
-        edges.append(split.where("root is not null and id <> root").select(F.col("id").alias("u"), F.col("root").alias("v")))
+        found, children = _split(nodes, big, threshold, many)
+        edges += found
         done.append(nodes.join(big, "key", "left_anti"))
-        nodes = split.where("root is null").select("key", "id", "sketch")
+        nodes = children
     for part in [*done, nodes]:
         ordered = part.repartition("key").sortWithinPartitions("key")
         edges.append(ordered.mapInArrow(_edges(threshold, many, limit), "u long, v long"))
