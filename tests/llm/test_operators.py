@@ -254,6 +254,22 @@ def test_html_extraction(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+def test_unclosed_elements_do_not_swallow_the_page():
+    main = "The story of the house is that it was on the hill and that all of us were in it for a year. " * 3
+    want = " ".join(main.split())
+    closed = [f"<{x}>gone of the <b>page</b></{x}>" for x in ("svg", "math", "noscript", "object", "iframe", "template")]
+    opened = ['<svg viewBox="0 0 1 1"/>', "<math/>", "<svg />", *(x.split(">")[0] + ">" for x in closed), "<svg><svg></svg>", *closed]
+    for x in opened:
+        got = html_text.extract(f"<html><head><title>no</title></head><body><p>{main}</p>{x}<p>{main}</p><svg>gone</svg><p>{main}</p></body></html>")[0]
+        assert got.count(want) == 3 and "gone" not in got and "no\n" not in got
+    for x in ("<head><title>no <b>of</title><meta charset=u><script>var a</script>", "<head><style>b {}</style>", "<head><svg/>", "<head>", "<head><noscript><img></noscript>"):
+        assert html_text.extract(f"<html>{x}<p>{main}</p><div>{main}</div>")[0] == f"{want}\n{want}"
+    assert html_text.extract(f"<html><head><title>no</title>{main}")[0] == want
+    n = 20_000
+    assert html_text.extract("<svg>" * n + f"<p>{main}</p>" + "<template>" * n)[0] == want
+    assert html_text.extract("<svg>" * n + "<p>gone</p>" + "</svg>" * n + f"<p>{main}</p>")[0] == want
+
+
 # --- 3 URLs -----------------------------------------------------------------
 
 

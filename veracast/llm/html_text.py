@@ -35,6 +35,9 @@ STOP_WORDS = frozenset(
 )
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)(?:>|\Z)|<(/?)([A-Za-z][A-Za-z0-9]*)[^>]*(?:>|\Z)", re.S)
 _END = {tag: re.compile(rf"</{tag}\b[^>]*(?:>|\Z)", re.I) for tag in ("script", "style")}
+_TITLE_END = re.compile(r"</title\b[^>]*(?:>|\Z)", re.I)
+#: what may stand in a head; any other tag, and text, begins the body
+_HEAD = frozenset("base basefont bgsound link meta title script style noscript template head html".split())
 
 
 @dataclass(frozen=True)
@@ -54,14 +57,41 @@ class Block:
     label: str = ""
 
 
+def _ends(page: str) -> dict[int, int]:
+    """Start of each skipped element that has an end tag -> where this ends."""
+    open_: dict[str, list[int]] = {}
+    out = {}
+    at = 0
+    while tag := _TOKEN.search(page, at):
+        at = tag.end()
+        name = (tag[2] or tag[5] or "").lower()
+        if name not in SKIPPED or name == "head":
+            continue
+        end = bool(tag[1] or tag[4])
+        if name in _END:
+            if not end:
+                stop = _END[name].search(page, at)
+                at = stop.end() if stop else len(page)
+        elif not end:
+            if not (name in ("svg", "math") and tag[0].endswith("/>")):
+                open_.setdefault(name, []).append(tag.start())
+        elif open_.get(name):
+            out[open_[name].pop()] = at
+    return out
+
+
 def blocks(page: str) -> list[Block]:
     """The page's blocks that have text. Tags that aren't closed and stray
-    ends are taken as they come; what isn't a tag is text."""
+    ends are taken as they come; what isn't a tag is text. A skipped element
+    without an end tag skips nothing but its own tag; a head ends at its end
+    tag or where the body's content begins."""
     out: list[Block] = []
     parts: list[tuple[str, bool]] = []
     link = heading = False
     skip = ""
-    depth = at = 0
+    at = 0
+    ends: dict[int, int] | None = None
+    titled = True  # until no end of a title is left
 
     def close() -> None:
         if parts:
@@ -74,29 +104,41 @@ def blocks(page: str) -> list[Block]:
 
     while at < len(page):
         tag = _TOKEN.search(page, at)
+        if skip == "head" and page[at : tag.start() if tag else len(page)].strip():
+            skip = ""
         if not skip and (tag is None or tag.start() > at):
             parts.append((page[at : tag.start() if tag else len(page)], link))
         if tag is None:
             break
-        at = tag.end()
+        begin, at = tag.start(), tag.end()
         name = (tag[2] or tag[5] or "").lower()
         if not name:
             continue
         end = bool(tag[1] or tag[4])
-        if skip:
-            if name == skip:
-                depth += -1 if end else 1
-                skip = skip if depth else ""
-            elif skip == "head" and name == "body":
+        if skip == "head":
+            if name == "head" and end or name not in _HEAD:
                 skip = ""
-            continue
+                if end and name == "head":
+                    continue
+            elif name == "title" and not end:  # its text is no body text
+                stop = titled and _TITLE_END.search(page, at)
+                titled = bool(stop)
+                at = stop.end() if stop else at
+                continue
+            elif name not in SKIPPED or end or name == "head":
+                continue
         if name in SKIPPED and not end:
             if name in _END:  # raw text: other tags in it don't count
                 stop = _END[name].search(page, at)
                 at = stop.end() if stop else len(page)
-            else:
+            elif name == "head":
+                close()
+                skip = name
+            elif not (name in ("svg", "math") and tag[0].endswith("/>")):
                 close()
-                skip, depth = name, 1
+                if ends is None:
+                    ends = _ends(page)
+                at = ends.get(begin, at)
         elif name == "a":
             link = not end
         elif name in BLOCK_TAGS:
