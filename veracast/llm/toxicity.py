@@ -11,10 +11,13 @@ to the next lower order:
 The last level is the same for both classes, as are the probabilities of a
 word given its beginning, so an expression too rare to clear the discount gets
 about the same likelihood from either model and tells nothing. A document's
-score is the mean over its words of the toxic less the ordinary
-log-likelihood, where words on which the models differ by less than ``margin``
-nats count as nought: such differences come from topics, languages and the
-size of the sample. Of some discounts the one with the fewest errors on a
+score is one-sided: the mean over its words of the toxic less the ordinary
+log-likelihood, where a word counts as nought unless the toxic model leads by
+``margin`` nats at least. Smaller leads, and any lead of the ordinary model,
+come from topics, languages and the size of the sample, so this isn't the
+comparison of the two mean log-likelihoods, which are given beside it and don't
+enter it. Toxicity spread thinly over words that each lead by less is not
+found, and ordinary words don't offset toxic ones. Of some discounts the one with the fewest errors on a
 held-out half of the sample is taken, and with it the threshold.
 
 Everything but the fit covers all rows: whole texts are scored in one pass
