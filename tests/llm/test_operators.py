@@ -448,50 +448,140 @@ def toxic_corpus(seed: int, n: int = 900) -> pd.DataFrame:
 def test_toxicity_held_out():
     train, test = toxic_corpus(1), toxic_corpus(2)
     model = toxicity.fit(train)
-    score = model.scores(pa.array(test["text"]))[3]
-    found, toxic = score > model.threshold, test["toxic"].to_numpy() == 1
+    n, ordinary, bad, score = model.scores(pa.array(test["text"]))
+    found, toxic = model.toxic(n, score), test["toxic"].to_numpy() == 1
     assert found[toxic].mean() >= 0.98 and found[~toxic].mean() <= 0.01
-
-
-def test_estimates_are_distributions():
-    """The words' likelihoods add up to no more than one, and a brute-force
-    unigram level agrees."""
-    train = toxic_corpus(3, 120)
-    split = []
-    for t in (0, 1):
-        h, o, s = words.word_hashes(pa.array(train["text"][train["toxic"] == t]), toxicity.STEM)
-        split.append((h, o, s))
-    model = toxicity._estimate(split, 3.0)
-    assert (np.exp(model.word_ll).sum(axis=1) <= 1 + 1e-9).all()
-    for t, (h, o, s) in enumerate(split):
-        before = defaultdict(set)
-        stems = {}
-        for a, b in zip(o, o[1:]):
-            for i in range(a, b):
-                before[h[i]].add(h[i - 1] if i > a else 0)
-        for hh, _, ss in split:
-            stems |= dict(zip(hh.tolist(), ss.tolist()))
-        total = sum(map(len, before.values()))
-        cut = sum(min(len(x), 3) for x in before.values())
-        pooled = defaultdict(set)
-        for hh, oo, _ in split:
-            for a, b in zip(oo, oo[1:]):
-                for i in range(a, b):
-                    pooled[hh[i]].add(hh[i - 1] if i > a else 0)
-        shared = {w: len(x) / sum(map(len, pooled.values())) for w, x in pooled.items()}
-        by_stem, shared_stem = Counter(), Counter()
-        for w, x in before.items():
-            by_stem[stems[int(w)]] += len(x)
-        for w, x in shared.items():
-            shared_stem[stems[int(w)]] += x
-        stem_cut = sum(min(x, 3) for x in by_stem.values())
-        for i in range(0, len(model.word), 7):
-            w = model.word[i]
-            st = stems[int(w)]
-            n = len(before.get(w, ()))
-            begin = max(by_stem[st] - 3, 0) / total + stem_cut / total * shared_stem[st]
-            want = max(n - 3, 0) / total + cut / total * begin * shared[w] / shared_stem[st]
-            assert np.isclose(np.exp(model.word_ll[t, i]), want)
+    assert np.array_equal(score, bad - ordinary)
+    # ordinary words offset toxic ones, and no word isn't toxic
+    one = pa.array(["rotbrain vilefool", "rotbrain vilefool " + "balan " * 2000, "balan", "", None])
+    n, ordinary, bad, score = model.scores(one)
+    assert model.toxic(n, score).tolist() == [True, False, False, False, False] and score[0] > 3 and (score[3:] == 0).all()
+
+
+def brute_model(texts: list[list[list[str]]], ratio: float):
+    """Interpolated Kneser-Ney models of [ordinary, toxic] texts, by dictionaries:
+    functions of (class, word before or None, word)."""
+    stem = lambda w: w[: toxicity.STEM]
+    before, third = [], []
+    for part in texts:
+        one, two = defaultdict(set), defaultdict(set)
+        for text in part:
+            for i, w in enumerate(text):
+                v = text[i - 1] if i else None
+                one[w].add(v)
+                two[v, w].add(text[i - 2] if i > 1 else None)
+        before.append(Counter({w: len(x) for w, x in one.items()}))
+        third.append(Counter({k: len(x) for k, x in two.items()}))
+
+    def discount(count):
+        n1, n2 = (sum(x == k for x in count.values()) for k in (1, 2))
+        return n1 / (n1 + 2 * n2) if n1 else 1.0
+
+    def telling(counts):
+        rate = lambda c, x: (counts[c][x] + 1) / sum(counts[c].values())
+        return {x for x in counts[0] | counts[1] if rate(0, x) > ratio * rate(1, x) or rate(1, x) > ratio * rate(0, x)}
+
+    def level(counts, tell):
+        kept = [{x: max(c[x] - discount(c), 0) if x in tell else 0 for x in counts[0] | counts[1]} for c in counts]
+        left = [Counter({x: counts[c][x] - kept[c][x] for x in kept[c]}) for c in (0, 1)]
+        total = [sum(c.values()) for c in counts]
+        return [{x: k / total[c] for x, k in kept[c].items()} for c in (0, 1)], [1 - sum(kept[c].values()) / total[c] for c in (0, 1)], left
+
+    kept, rest, left = level(before, telling(before))
+    stems = [Counter() for _ in (0, 1)]
+    for c in (0, 1):
+        for w, x in left[c].items():
+            stems[c][stem(w)] += x
+    stem_tell = telling(stems)
+    stem_kept, stem_rest, stem_left = level(stems, stem_tell)
+    pooled = left[0] + left[1]
+    within = Counter()
+    for w, x in pooled.items():
+        within[stem(w)] += x
+    shared = {s: sum(stem_left[c][s] for c in (0, 1)) if s in stem_tell else x + 1 for s, x in within.items()}
+    total = sum(shared.values()) + 1
+    words, pairs = before[0] | before[1], telling(third)
+
+    def begin(c, s):
+        return stem_kept[c][s] + stem_rest[c] * shared[s] / total
+
+    def lower(c, w):
+        if w in words:
+            return kept[c][w] + rest[c] * begin(c, stem(w)) * pooled[w] / (within[stem(w)] + 1)
+        if stem(w) in within:
+            return rest[c] * begin(c, stem(w)) / (within[stem(w)] + 1) / len(words)
+        return rest[c] * stem_rest[c] / total / len(words)
+
+    def probability(c, v, w):
+        mine = {x: n for x, n in third[c].items() if x[0] == v}
+        own = {x: max(third[c][x] - discount(third[c]), 0) for x in pairs if x[0] == v}
+        if not own or not mine:
+            return lower(c, w)
+        n = sum(mine.values())
+        return own.get((v, w), 0) / n + (1 - sum(own.values()) / n) * lower(c, w)
+
+    return probability, words, pairs
+
+
+def test_models_against_dictionaries():
+    """Words, beginnings, backoff, bigrams and the comparison, on a small
+    corpus in which some pairs of ordinary words tell the classes apart."""
+    rng = random.Random(3)
+    texts: list[list[list[str]]] = [[], []]
+    for i in range(240):
+        own = [rng.choice("abcdefghijklmnop") + rng.choice(["", "ness", "ing", "stone"]) for _ in range(rng.randrange(0, 40))]
+        for _ in range(len(own) // 8 * (i % 4 == 0)):
+            at = rng.randrange(len(own))
+            own[at:at] = rng.choice([["b", "cing"], ["vilefool"], ["vile" + "f" + rng.choice("xyz")], [rng.choice("abcd"), "rot"]])
+        texts[i % 4 == 0].append(own)
+    hashed = []
+    for part in texts:
+        h, o, s = words.word_hashes(pa.array([" ".join(x) for x in part]), toxicity.STEM)
+        hashed.append((h, o, s))
+    for ratio in (2.0, 6.0):
+        model = toxicity._estimate(toxicity.counted(hashed), ratio)
+        probability, known, pairs = brute_model(texts, ratio)
+        assert pairs and len(model.pair) == len(pairs) and len(model.word) == len(known)
+        test = [x for part in texts for x in part[:25]] + [["vilefresh", "b", "cing", "zzz", "vilefool"], ["rot"], ["new", "stones", "anew"]]
+        n, ordinary, bad, score = model.scores(pa.array([" ".join(x) for x in test]))
+        for text, k, a, b, apart in zip(test, n, ordinary, bad, score):
+            assert k == len(text)
+            want = [sum(np.log(probability(c, text[i - 1] if i else None, w)) for i, w in enumerate(text)) / max(len(text), 1) for c in (0, 1)]
+            assert np.isclose(a, want[0]) and np.isclose(b, want[1]) and np.isclose(apart, want[1] - want[0])
+        # no more than one in all, and a context's words as much as those without it
+        for v in [None, "b", "a", "vilefool"]:
+            for c in (0, 1):
+                assert sum(probability(c, v, w) for w in known) <= 1 + 1e-9
+        assert (np.exp(model.word_ll).sum(axis=1) <= 1 + 1e-9).all()
+    assert toxicity._discount(np.array([1, 1, 1, 2, 7])) == 3 / 5 and toxicity._discount(np.array([4.0])) == 1
+
+
+def test_threshold_has_the_fewest_errors():
+    rng = random.Random(17)
+    for _ in range(300):
+        score = np.array([rng.randrange(12) / 4 for _ in range(rng.randrange(2, 12))])
+        toxic = np.array([rng.random() < 0.2 + x / 4 for x in score])
+        errors, _, threshold = toxicity._threshold(score, toxic)
+        errors_at = lambda t: int(((score > t) != toxic).sum())
+        if len(set(score.tolist())) > 1:
+            assert errors == errors_at(threshold) == min(errors_at((a + b) / 2) for a, b in zip(sorted(set(score.tolist())), sorted(set(score.tolist()))[1:]))
+
+
+def test_shared_counts_are_of_all_documents(spark):
+    train = toxic_corpus(4, 120)
+    docs = [(i, t, "en", "s", 0) for i, t in enumerate([*train["text"], "balan balanx other words", None, ""])] + awkward_rows()
+    word, stem = toxicity._vocabulary(train)
+    vocabulary = spark.sparkContext.broadcast((word, stem))
+    got = toxicity.shared_counts(spark.createDataFrame(docs, DOCS).repartition(3), vocabulary)
+    h, _, s = words.word_hashes(pa.array([d[1] for d in docs]), toxicity.STEM)
+    count = Counter(h.tolist())
+    assert got.by_word.tolist() == [count[x] for x in word.tolist()]
+    other = Counter(b for a, b in zip(h.tolist(), s.tolist()) if a not in set(word.tolist()))
+    assert got.by_stem[:-1].tolist() == [other[x] for x in stem.tolist()] and got.by_word.sum() + got.by_stem.sum() == len(h)
+    # what tells the classes apart doesn't depend on them
+    a, b = (toxicity.fit(train, shared=x) for x in (None, got))
+    test = pa.array(toxic_corpus(5, 120)["text"])
+    assert np.corrcoef(a.scores(test)[3], b.scores(test)[3])[0, 1] > 0.99
 
 
 def test_toxicity_operator(spark):
