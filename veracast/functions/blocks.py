@@ -1,14 +1,17 @@
-"""All pairs of two sets of vectors, block by block.
+"""All pairs of two sets of vectors, cell by cell of a grid.
 
-Each side is grouped into blocks of ``size`` vectors, blocks are crossed, and
-a function sees two NumPy blocks at a time and returns what remains of their
-pairs: sums, counts or a few least distances. The pairs themselves are never
-materialised, so memory is bounded by two blocks, and a left block is shipped
-once for each right block.
+Left vectors are dealt to the rows of a grid and right ones to its columns, by
+a hash of their ids, and each is sent to the cells of its row or column: with
+p cells a vector is shipped about sqrt(p) times, not once for each block of the
+other side. A cell's function sees two NumPy blocks at a time and returns what
+remains of their pairs: sums, counts or a few least distances. The pairs
+themselves are never materialised: a cell holds its two sides, each of MOST
+bytes at most, and the distances of one block.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -16,47 +19,89 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE = 1024
+SIZE, WIDE = 1024, 4096
+MOST = 1 << 28
 Block = tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]
 
 
-def blocks(vectors: DataFrame, size: int = SIZE) -> DataFrame:
-    """b, ids, x (flattened doubles) and further columns as arrays, of (id, v array<double>, ...)."""
-    n = max(1, -(-vectors.count() // size))
-    more = [c for c in vectors.columns if c not in ("id", "v")]
-    each = F.struct("id", "v", *more)
-    grouped = vectors.withColumn("b", F.pmod(F.xxhash64("id"), F.lit(n))).groupBy("b").agg(F.collect_list(each).alias("e"))
-    return grouped.select("b", F.col("e.id").alias("ids"), F.flatten("e.v").alias("x"), *(F.col(f"e.{c}").alias(c) for c in more))
-
-
-def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE) -> DataFrame:
-    """The rows of run(left block, right block) for every two blocks."""
-    a, b = blocks(left, size), blocks(right, size)
-    a, b = (df.select(*(F.col(c).alias(f"{side}_{c}") for c in df.columns)) for df, side in ((a, "l"), (b, "r")))
-    # one task a pair of blocks, up to what the cluster's parallelism can use
-    pairs = a.crossJoin(b).repartition(a.sparkSession.sparkContext.defaultParallelism)
-
-    def block(batch: pa.RecordBatch, side: str, i: int) -> Block:
-        array = lambda c: batch.column(f"{side}_{c}")[i].values.to_numpy(zero_copy_only=False)
-        ids = array("ids")
-        names = [n[2:] for n in batch.schema.names if n.startswith(side + "_") and n[2:] not in ("b", "ids", "x")]
-        return ids, array("x").reshape(len(ids), -1), {c: array(c) for c in names}
-
-    def each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for i in range(batch.num_rows):
-                out = run(block(batch, "l", i), block(batch, "r", i))
+def _rows(n: int, width: int, wanted: int) -> int:
+    """Rows of a grid for n vectors: as many as wanted, but no fewer than
+    memory asks for, nor more than give each some vectors."""
+    return max(1, -(-n * width * 8 // MOST), min(wanted, -(-n // 64)))
+
+
+def _block(table: pa.Table) -> Block:
+    ids = table.column("id").to_numpy()
+    x = table.column("v").combine_chunks()
+    x = (pa.concat_arrays([c.flatten() for c in x.chunks]) if isinstance(x, pa.ChunkedArray) else x.flatten()).to_numpy(zero_copy_only=False)
+    more = [n for n in table.schema.names if n not in ("id", "v", "_i", "_j")]
+    return ids, x.reshape(len(ids), -1), {c: table.column(c).to_numpy() for c in more}
+
+
+def _part(block: Block, a: int, n: int) -> Block:
+    return block[0][a : a + n], block[1][a : a + n], {c: x[a : a + n] for c, x in block[2].items()}
+
+
+def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE) -> DataFrame:
+    """The rows of run(left block, right block) for blocks of up to ``size``
+    and ``wide`` vectors that hold every pair of (id, v array<double>, ...) once."""
+    cores = left.sparkSession.sparkContext.defaultParallelism
+    measure = lambda df: df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
+    (n, width), (m, _) = measure(left), measure(right)
+    wanted = math.ceil(math.sqrt(4 * cores))
+    down, across = (_rows(k, width or 1, wanted) for k in (n, m))
+    own = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
+    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
+    a = left.withColumn("_i", own(down, 1)).withColumn("_j", every(across))
+    b = right.withColumn("_j", own(across, 2)).withColumn("_i", every(down))
+    # columns of their own, as the sides may stem from one frame
+    a, b = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (a, b))
+    # a number of partitions that is asked for isn't reduced for having few bytes
+    parts = min(down * across, 64 * cores)
+    a, b = (df.repartition(parts, "_i", "_j").groupBy("_i", "_j") for df in (a, b))
+
+    def cell(x: pa.Table, y: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not x.num_rows or not y.num_rows:
+            return
+        x, y = _block(x), _block(y)
+        for i in range(0, len(x[0]), size):
+            for j in range(0, len(y[0]), wide):
+                out = run(_part(x, i, size), _part(y, j, wide))
                 if out is not None and out.num_rows:
                     yield out
 
-    return pairs.mapInArrow(each, schema)
+    names = [f.split()[0] for f in schema.split(",")]
+
+    def all_of(x: pa.Table, y: pa.Table) -> pa.Table:
+        found = list(cell(x, y))
+        return pa.Table.from_batches(found) if found else pa.table({c: pa.array([], t) for c, t in zip(names, _types(schema))})
+
+    return a.cogroup(b).applyInArrow(all_of, schema)
+
+
+def _types(schema: str) -> list[pa.DataType]:
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
+    return [kinds[f.split()[1]] for f in schema.split(",")]
 
 
 def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean, from differences (no cancellation), a slice of rows at a time."""
-    out = np.empty((len(x), len(y)))
-    step = max(1, (1 << 21) // max(1, y.size))
-    for i in range(0, len(x), step):
-        d = x[i : i + step, None, :] - y[None, :, :]
-        out[i : i + step] = np.sqrt(np.einsum("ijk,ijk->ij", d, d))
-    return out
+    """Euclidean, by products of matrices; a distance that is small beside its
+    vectors, where these would cancel, is taken from the differences."""
+    middle = (x.mean(axis=0) + y.mean(axis=0)) / 2 if len(x) and len(y) else 0.0
+    x, y = x - middle, y - middle
+    length = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :]
+    d = length - 2 * (x @ y.T)
+    i, j = np.nonzero(~(d > 1e-6 * length))
+    np.maximum(d, 0, out=d)
+    step = max(1, (1 << 22) // max(1, x.shape[1]))
+    for k in range(0, len(i), step):
+        apart = x[i[k : k + step]] - y[j[k : k + step]]
+        d[i[k : k + step], j[k : k + step]] = np.einsum("ij,ij->i", apart, apart)
+    return np.sqrt(d, out=d)
+
+
+def least_of(d: np.ndarray, k: int) -> pa.ListArray:
+    """The k least numbers of each row, as lists."""
+    k = min(k, d.shape[1])
+    least = np.partition(d, k - 1, axis=1)[:, :k]
+    return pa.ListArray.from_arrays(np.arange(len(d) + 1, dtype=np.int32) * k, pa.array(least.ravel()))

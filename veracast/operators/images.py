@@ -155,7 +155,7 @@ def dom(rgb: np.ndarray, width: int = 2, sharpness: float = 2.0, edge: float = 1
     level = luma(rgb)
     p = np.pad(level, 1, mode="edge")
     around = np.stack([p[i : i + level.shape[0], j : j + level.shape[1]] for i in range(3) for j in range(3)])
-    m = np.median(around, axis=0) / 255.0
+    m = np.median(around, axis=0)  # in levels, so that sums are exact and a ratio that equals the limit does
     total = 0.0
     for axis in (0, 1):
         x = level.astype(float)
@@ -170,7 +170,7 @@ def dom(rgb: np.ndarray, width: int = 2, sharpness: float = 2.0, edge: float = 1
             i = np.arange(width, max(n - width, width))
             sums.append((run.take(i + width, axis) - run.take(i - width, axis), i))
         (num, i), (den, _) = sums
-        ratio = np.where(den > 1e-3, num / np.maximum(den, 1e-300), 0.0)
+        ratio = np.where(den > 1e-3 * 255, num / np.maximum(den, 1e-300), 0.0)
         whole = np.zeros_like(m)
         whole[(i, slice(None)) if axis == 0 else (slice(None), i)] = ratio
         share = ((whole * on) >= sharpness).sum() / (on.sum() + 1e-8)

@@ -12,9 +12,11 @@ from dataclasses import asdict, dataclass, field
 from functools import reduce
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracast.functions.blocks import over_pairs
 from veracast.functions.quantiles import percentiles
 
 SENTINELS = (999, -1, "NaN", "nan")
@@ -51,15 +53,27 @@ def without_sentinels(df: DataFrame, columns: list[str] | None = None, values: t
     return df.select(*out)
 
 
+#: options that profile() lists at most
+LISTED = 1000
+
+
+def options(df: DataFrame, column: str) -> DataFrame:
+    """The distinct values of a column, NaN and null left out: (value, n)."""
+    x = F.col(column)
+    known = x.isNotNull() & ~F.isnan(x) if dict(df.dtypes)[column] in ("float", "double") else x.isNotNull()
+    return df.where(known).groupBy(x.alias("value")).agg(F.count(F.lit(1)).alias("n"))
+
+
 def profile(df: DataFrame, columns: list[str] | None = None, few: int = 10, share: float = 0.03) -> DataFrame:
     """column, tag (discrete or continuous), is_categ (0 or 1), dtype
     (numerical, integer or string), n_options and options (in order, as text)
     of each column.
 
     Discrete are columns with under ``few`` distinct values and those that
-    aren't numeric; only of the former, options are listed. The number of
-    options of a column of text is approximate beyond a thousand. Two passes:
-    the second only of columns with few values."""
+    aren't numeric. Numbers of options are exact. Options are listed of discrete
+    columns with at most LISTED of them, as more don't fit into a row;
+    options() has those of any column. Two passes, in which
+    values are counted in a shuffle, never in one task."""
     columns = columns or df.columns
     kinds = dict(df.dtypes)
     wanted = []
@@ -67,22 +81,25 @@ def profile(df: DataFrame, columns: list[str] | None = None, few: int = 10, shar
         x = F.col(c)
         number = x.cast("double") if _is_number(kinds[c]) else x.try_cast("double") if kinds[c] == "string" else F.lit(None).cast("double")
         seen = x.isNotNull()
-        wanted += [F.approx_count_distinct(x, 0.02).alias(f"d{i}"), F.count(x).alias(f"n{i}"), F.coalesce(F.bool_and(F.when(seen, number.isNotNull())), F.lit(True)).alias(f"num{i}"), F.coalesce(F.bool_and(F.when(seen & ~F.isnan(number), number == F.floor(number))), F.lit(True)).alias(f"int{i}")]
+        wanted += [F.coalesce(F.bool_and(F.when(seen, number.isNotNull())), F.lit(True)).alias(f"num{i}"), F.coalesce(F.bool_and(F.when(seen & ~F.isnan(number), number == F.floor(number))), F.lit(True)).alias(f"int{i}")]
     one = df.agg(F.count(F.lit(1)).alias("rows"), *wanted).first()
-    listed = [i for i in range(len(columns)) if one[f"d{i}"] <= 1000]
-    # at most about a thousand values each
-    sets = df.agg(*(F.collect_set(F.col(columns[i])).alias(f"s{i}") for i in listed)).first() if listed else {}
+    # (column, value) rows: made distinct in a shuffle, whatever their number
+    text = lambda c: F.nanvl(F.col(c), F.lit(None).cast(kinds[c])).cast("string") if kinds[c] in ("float", "double") else F.col(c).cast("string")
+    each = df.select(F.explode(F.array(*(F.struct(F.lit(i).alias("i"), text(c).alias("x")) for i, c in enumerate(columns)))).alias("e")).select("e.*").where("x is not null").distinct()
+    found = {r.i: r["count"] for r in each.groupBy("i").count().collect()}  # a row a column
+    few_columns = [i for i in range(len(columns)) if found.get(i, 0) <= LISTED]
+    sets = df.agg(*(F.collect_set(F.col(columns[i])).alias(f"s{i}") for i in few_columns)).first() if few_columns else {}
     out = []
     for i, c in enumerate(columns):
         number, integer = one[f"num{i}"], one[f"int{i}"] and one[f"num{i}"]
-        values = None
-        if i in listed:
+        k, values = found.get(i, 0), None
+        if i in few_columns:
             values = [x for x in sets[f"s{i}"] if not (isinstance(x, float) and np.isnan(x))]
             values = sorted(values, key=lambda x: float(x) if number else str(x))
-        k = len(values) if values is not None else one[f"d{i}"]
+            k = len(values)
         discrete = k < few or not number
-        text = [_text(x, number) for x in values] if discrete and values is not None else None
-        out.append((c, "discrete" if discrete else "continuous", int(discrete and k < share * one["rows"]), "string" if not number else "integer" if integer else "numerical", int(k) if discrete else 0, text))
+        text_ = [_text(x, number) for x in values] if discrete and values is not None else None
+        out.append((c, "discrete" if discrete else "continuous", int(discrete and k < share * one["rows"]), "string" if not number else "integer" if integer else "numerical", int(k) if discrete else 0, text_))
     return df.sparkSession.createDataFrame(out, "column string, tag string, is_categ int, dtype string, n_options long, options array<string>")
 
 
@@ -98,10 +115,15 @@ class Encoder:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str], most: int = 10_000) -> Encoder:
-        one = df.agg(*(F.array_sort(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(columns)), *(F.approx_count_distinct(c).alias(f"n{i}") for i, c in enumerate(columns))).first()
+        """Codes are looked up in an expression that holds all options, so more
+        than about ``most`` are refused, before any is gathered."""
+        if not columns:
+            return Encoder({})
+        many = df.agg(*(F.approx_count_distinct(c, 0.02).alias(f"n{i}") for i, c in enumerate(columns))).first()
         for i, c in enumerate(columns):
-            if one[f"n{i}"] > most * 1.2:
+            if many[f"n{i}"] > most * 1.1:
                 raise ValueError(f"{c} has more than {most} options")
+        one = df.agg(*(F.array_sort(F.collect_set(c)).alias(f"s{i}") for i, c in enumerate(columns))).first()
         return Encoder({c: list(one[f"s{i}"]) for i, c in enumerate(columns)})
 
     def encode(self, df: DataFrame) -> DataFrame:
@@ -169,7 +191,7 @@ class Scaler:
         x = df.select(*(F.col(c).cast("double").alias(c) for c in columns))
         if kind == "robust":
             one = percentiles(x, columns, [0.25, 0.5, 0.75]).first()
-            pairs = {c: (one[c][1], one[c][2] - one[c][0]) for c in columns}
+            pairs = {c: (one[c][1], one[c][2] - one[c][0]) if one[c] else (0.0, 1.0) for c in columns}
         else:
             f = {"standard": (F.avg, F.stddev_pop), "minmax": (F.min, lambda c: F.max(c) - F.min(c)), "maxabs": (lambda c: F.lit(0.0) * F.max(c), lambda c: F.max(F.abs(c)))}[kind]
             clean = x.select(*(F.nanvl(F.col(c), F.lit(None).cast("double")).alias(c) for c in columns))
@@ -188,6 +210,36 @@ def impute(df: DataFrame, columns: list[str], kind: str = "mean") -> DataFrame:
     """Missing values (null or NaN) as the column's mean, median or mode (the
     least of equally common ones). Columns of integers get the nearest integer."""
     kinds = dict(df.dtypes)
+    clean = lambda c: _clean(c, kinds[c])
+    fill = F.broadcast(_fills(df, columns, kind).select(*(F.col(c).alias(f"_fill_{c}") for c in columns)))  # one row
+    whole = lambda c: F.round(f"_fill_{c}").cast(kinds[c]) if kinds[c] in ("tinyint", "smallint", "int", "bigint") else F.col(f"_fill_{c}")
+    return df.crossJoin(fill).select(*((F.coalesce(clean(c), whole(c)).alias(c) if c in columns else F.col(c)) for c in df.columns))
+
+
+def _clean(c: str, kind: str) -> Column:
+    return F.nanvl(F.col(c), F.lit(None).cast(kind)) if kind in ("float", "double") else F.col(c)
+
+
+@dataclass(frozen=True)
+class Imputer:
+    """Fill values of each column, kept from the table that they were fitted on."""
+
+    kind: str
+    values: dict[str, float | str | None]
+
+    @staticmethod
+    def fit(df: DataFrame, columns: list[str], kind: str = "mean") -> Imputer:
+        return Imputer(kind, _fills(df, columns, kind).first().asDict() if columns else {})
+
+    def transform(self, df: DataFrame) -> DataFrame:
+        kinds = dict(df.dtypes)
+        fill = lambda c: F.lit(self.values[c]).cast(kinds[c]) if kinds[c] not in ("tinyint", "smallint", "int", "bigint") else F.round(F.lit(self.values[c])).cast(kinds[c])
+        return df.select(*((F.coalesce(_clean(c, kinds[c]), fill(c)).alias(c) if self.values.get(c) is not None else F.col(c)) for c in df.columns))
+
+
+def _fills(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
+    """One row of the columns' fill values."""
+    kinds = dict(df.dtypes)
     clean = lambda c: F.nanvl(F.col(c), F.lit(None).cast(kinds[c])) if kinds[c] in ("float", "double") else F.col(c)
     if kind == "mode":
         parts = [df.select(clean(c).alias("v")).where("v is not null").groupBy("v").count().agg(F.max_by("v", F.struct("count", *([-F.col("v")] if _is_number(kinds[c]) and kinds[c] != "boolean" else []))).alias(c)) if _is_number(kinds[c]) else df.select(F.col(c).alias("v")).where("v is not null").groupBy("v").count().orderBy(F.desc("count"), "v").limit(1).agg(F.first("v").alias(c)) for c in columns]
@@ -198,33 +250,55 @@ def impute(df: DataFrame, columns: list[str], kind: str = "mean") -> DataFrame:
         fill = df.agg(*(F.avg(clean(c)).alias(c) for c in columns))
     else:
         raise ValueError(f"{kind} is none of mean, median and mode")
-    fill = F.broadcast(fill.select(*(F.col(c).alias(f"_fill_{c}") for c in columns)))  # one row
-    whole = lambda c: F.round(f"_fill_{c}").cast(kinds[c]) if kinds[c] in ("tinyint", "smallint", "int", "bigint") else F.col(f"_fill_{c}")
-    return df.crossJoin(fill).select(*((F.coalesce(clean(c), whole(c)).alias(c) if c in columns else F.col(c)) for c in df.columns))
+    return fill.select(*columns)
 
 
 def impute_knn(df: DataFrame, id_: str, columns: list[str], k: int = 2) -> DataFrame:
     """Missing values as the mean of the k nearest rows that have one. The
     distance is Euclidean over the columns that both rows have, on standard
     scales, weighted up for missing ones. Quadratic: rows with gaps meet all
-    rows, and only the k least distances of a gap are kept. A column's mean
-    stands in where no row is comparable."""
+    rows, cell by cell of a grid, and only the k least distances of a gap leave a cell. A
+    column's mean stands in where no row is comparable. Ids are integers; of equal distances the lower id is nearer."""
     p = len(columns)
-    x = df.select(id_, *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
-    scaled = Scaler.fit(x, columns).transform(x)
-    gaps = scaled.where(reduce(lambda a, b: a | b, (F.col(c).isNull() for c in columns))).select(F.col(id_).alias("_g"), *(F.col(c).alias(f"_g{i}") for i, c in enumerate(columns)))
-    all_ = scaled.join(x.select(F.col(id_).alias("_x"), *(F.col(c).alias(f"_v{i}") for i, c in enumerate(columns))), F.col(id_) == F.col("_x"))
-    pairs = gaps.crossJoin(all_).where(F.col("_g") != F.col(id_))
-    square = [F.pow(F.col(f"_g{i}") - F.col(c), F.lit(2.0)) for i, c in enumerate(columns)]
-    total = reduce(lambda a, b: a + b, (F.coalesce(s, F.lit(0.0)) for s in square))
-    shared = reduce(lambda a, b: a + b, (F.when(s.isNotNull(), 1).otherwise(0) for s in square))
-    need = F.filter(F.array(*(F.when(F.col(f"_g{i}").isNull() & F.col(f"_v{i}").isNotNull(), F.struct(F.lit(i).alias("i"), F.col(f"_v{i}").alias("v"))) for i in range(p))), lambda e: e.isNotNull())
-    near = pairs.where(shared > 0).select("_g", F.col(id_).alias("_o"), F.sqrt(total * p / shared).alias("d"), F.explode(need).alias("e"))
-    near = near.withColumn("n", F.row_number().over(Window.partitionBy("_g", "e.i").orderBy("d", "_o"))).where(F.col("n") <= k)
-    got = near.groupBy("_g").pivot("e.i", list(range(p))).agg(F.avg("e.v"))
-    got = got.select("_g", *(F.col(str(i)).alias(f"_k{i}") for i in range(p)))
+    x = df.select(F.col(id_).cast("long").alias("id"), *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
+    scaler = Scaler.fit(x, columns)
+    nan = lambda c: F.coalesce(F.col(c), F.lit(float("nan")))
+    every = scaler.transform(x).select("id", F.array(*map(nan, columns)).alias("v"))
+    gaps = every.where(F.exists("v", lambda e: F.isnan(e)))
+
+    def run(a, b):
+        (ids, g, _), (others, v, _) = a, b
+        has_g, has_v = ~np.isnan(g), ~np.isnan(v)
+        z, y = np.where(has_g, g, 0.0), np.where(has_v, v, 0.0)
+        shared = has_g.astype(float) @ has_v.T.astype(float)
+        square = np.zeros(shared.shape)
+        for i in range(p):
+            square += ((z[:, i, None] - y[None, :, i]) ** 2) * has_g[:, i, None] * has_v[None, :, i]
+        d = np.sqrt(np.divide(square * p, shared, out=np.full(shared.shape, np.inf), where=shared > 0))
+        d[ids[:, None] == others[None, :]] = np.inf
+        order = np.argsort(others, kind="stable")
+        others, d, has_v, v = others[order], d[:, order], has_v[order], v[order]
+        out = []
+        for i in range(p):
+            rows_ = np.flatnonzero(~has_g[:, i])
+            own = np.flatnonzero(has_v[:, i])
+            if len(rows_) and len(own):
+                apart = d[np.ix_(rows_, own)]
+                near = np.argsort(apart, axis=1, kind="stable")[:, :k]
+                r = np.repeat(rows_, near.shape[1])
+                out.append((ids[r], np.full(len(r), i), others[own[near.ravel()]], np.take_along_axis(apart, near, 1).ravel(), v[own[near.ravel()], i]))
+        if not out:
+            return None
+        u, i, o, d, value = (np.concatenate(c) for c in zip(*out))
+        keep = np.isfinite(d)
+        return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (u, i, o, d, value)], ["g", "i", "o", "d", "x"])
+
+    near = over_pairs(gaps, every, run, "g long, i long, o long, d double, x double", 256, 2048)
+    near = near.withColumn("n", F.row_number().over(Window.partitionBy("g", "i").orderBy("d", "o"))).where(F.col("n") <= k)
+    got = near.groupBy("g").pivot("i", list(range(p))).agg(F.avg("x"))
+    got = got.select("g", *((F.col(str(i)) * scaler.scale[c] + scaler.shift[c]).alias(f"_k{i}") for i, c in enumerate(columns)))
     means = F.broadcast(x.agg(*(F.avg(c).alias(f"_m{i}") for i, c in enumerate(columns))))
-    out = df.join(got, F.col(id_) == F.col("_g"), "left").crossJoin(means)
+    out = df.join(got, F.col(id_).cast("long") == F.col("g"), "left").crossJoin(means)
     value = lambda c, i: F.coalesce(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")), F.col(f"_k{i}"), F.col(f"_m{i}"))
     return out.select(*((value(c, columns.index(c)).alias(c) if c in columns else F.col(c)) for c in df.columns))
 
@@ -337,8 +411,11 @@ def row_to_text(df: DataFrame, columns: list[str], shuffle_seed: int | None = No
 
 @dataclass(frozen=True)
 class Prepared:
-    """A fitted chain: missing values, codes, scales and components."""
+    """A fitted chain: fill values, codes, scales and components. Text columns
+    are filled with their mode before they are coded, others as asked for; a
+    table that is transformed gets the values of the one that was fitted."""
 
+    imputers: tuple[Imputer, ...]
     encoder: Encoder
     scaler: Scaler
     components: Components | None
@@ -347,20 +424,36 @@ class Prepared:
 
     @staticmethod
     def fit(df: DataFrame, columns: list[str], scaler: str = "standard", imputer: str = "mean", one_hot: bool = False, components: int | None = None) -> Prepared:
+        """Indicators of one-hot codes aren't scaled."""
         kinds = dict(df.dtypes)
-        encoder = Encoder.fit(df, [c for c in columns if kinds[c] == "string"])
-        x = impute(encoder.encode(without_sentinels(df.select(*columns), values=("NaN", "nan"))), columns, imputer)
+        x = without_sentinels(df.select(*columns), values=("NaN", "nan"))
+        text = [c for c in columns if kinds[c] == "string"]
+        imputers = tuple(Imputer.fit(x, own, kind) for own, kind in ((text, "mode"), ([c for c in columns if c not in text], imputer)) if own)
+        encoder = Encoder.fit(x, text)
+        for own in imputers:
+            x = own.transform(x)
+        x = encoder.encode(x)
         if one_hot:
             x = encoder.one_hot(x)
-        numeric = [c for c in x.columns if "_OH-" not in c]
-        fitted = Scaler.fit(x, numeric, scaler)
-        return Prepared(encoder, fitted, Components.fit(fitted.transform(x), x.columns, components) if components else None, tuple(columns), one_hot)
-
-    def transform(self, df: DataFrame, imputer: str = "mean") -> DataFrame:
-        x = impute(self.encoder.encode(without_sentinels(df.select(*self.columns), values=("NaN", "nan"))), list(self.columns), imputer)
-        x = self.scaler.transform(self.encoder.one_hot(x) if self.hot else x)
+        fitted = Scaler.fit(x, [c for c in x.columns if "_OH-" not in c], scaler)
+        return Prepared(imputers, encoder, fitted, Components.fit(fitted.transform(x), x.columns, components) if components else None, tuple(columns), one_hot)
+
+    def transform(self, df: DataFrame, keep: tuple[str, ...] = ()) -> DataFrame:
+        """The columns that were fitted, and those of ``keep`` as they are."""
+        x = without_sentinels(df.select(*keep, *self.columns), list(self.columns), values=("NaN", "nan"))
+        for own in self.imputers:
+            x = own.transform(x)
+        x = self.encoder.encode(x)
+        if self.hot:
+            x = self._one_hot(x, keep)
+        x = self.scaler.transform(x)
         return self.components.transform(x) if self.components else x
 
+    def _one_hot(self, x: DataFrame, keep: tuple[str, ...]) -> DataFrame:
+        names = self.encoder.one_hot(x.select(*self.columns)).columns
+        hot = self.encoder.one_hot(x)
+        return hot.select(*(F.col(f"`{c}_OR`").alias(c) for c in keep), *(F.col(f"`{c}`") for c in names))
+
     def inverse(self, df: DataFrame) -> DataFrame:
         x = self.components.inverse(df) if self.components else df
         x = self.scaler.inverse(x)

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from veracast.functions.blocks import Block, distances, least_of, over_pairs
 from veracast.functions.longform import present, rows, with_stats
 from veracast.operators.tabular import correlations
 
@@ -49,29 +53,62 @@ def statistical_similarity(real: DataFrame, synthetic: DataFrame, discrete: list
     return with_stats(reduce(DataFrame.unionByName, parts).select("key", "value"))
 
 
-def densities(both: DataFrame) -> DataFrame:
-    """Gaussian-kernel densities of (syn, x) on a shared grid of 300 points:
-    g (index), at, p (real) and q (synthetic), each with the sum 1.
-
-    Equal values are counted first, so the kernel is evaluated once for each
-    distinct value and grid point; the grid is generated in place and summed
-    map-side. A side of one distinct value has all its mass on the nearest point."""
-    x = both.select("syn", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
-    side = x.groupBy("syn").agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi"))
-    pick = lambda f, c, s: f(F.when(F.col("syn") == s, F.col(c)))
-    limits = side.agg(F.min("lo").alias("a"), F.max("hi").alias("b"), *(pick(F.max, "lo", s).alias(f"lo{s}") for s in (0, 1)), *(pick(F.max, "hi", s).alias(f"hi{s}") for s in (0, 1)), *(F.max(F.when(F.col("syn") == s, F.col("sd") * F.pow(F.col("n").cast("double"), F.lit(-0.2)))).alias(f"h{s}") for s in (0, 1)))
-    weights = x.groupBy("syn", "x").count().crossJoin(F.broadcast(limits))
-    grid = weights.select("*", F.explode(F.sequence(F.lit(0), F.lit(GRID - 1))).alias("g"))
-    at = F.col("a") + F.col("g") * ((F.col("b") - F.col("a")) / (GRID - 1))
-    h = F.when(F.col("syn") == 0, F.col("h0")).otherwise(F.col("h1"))
-    z = F.try_divide(F.col("x") - at, h)
-    kernel = F.when(F.col("syn") == 0, F.col("lo0") < F.col("hi0")).otherwise(F.col("lo1") < F.col("hi1"))
-    sums = grid.groupBy("g").agg(F.first(at).alias("at"), *(F.sum(F.when((F.col("syn") == s) & kernel, F.col("count") * F.exp(-0.5 * z * z)).otherwise(0.0)).alias(f"k{s}") for s in (0, 1)), *(F.first(c).alias(c) for c in ("lo0", "hi0", "lo1", "hi1")))
-    for s in (0, 1):
-        nearest = F.row_number().over(Window.orderBy(F.abs(F.col("at") - F.col(f"lo{s}")), "g")) == 1
-        alone = F.col(f"lo{s}") == F.col(f"hi{s}")
-        sums = sums.withColumn("pq"[s], F.when(alone, F.when(nearest, 1.0).otherwise(0.0)).otherwise(F.try_divide(F.col(f"k{s}"), F.sum(f"k{s}").over(Window.partitionBy()))))
-    return sums.select("g", "at", "p", "q")
+def densities(both: DataFrame, name: str = "") -> DataFrame:
+    """densities_of() of one column, (syn, x): g, at, p and q."""
+    return densities_of(both.select(F.lit(name).alias("key"), "syn", "x")).select("g", "at", "p", "q")
+
+
+def densities_of(values: DataFrame) -> DataFrame:
+    """Gaussian-kernel densities of (key, syn, x), for each key on a grid of 300
+    points that both sides share: key, g (index), at, p (real) and q
+    (synthetic), each with the sum 1.
+
+    All keys are done in the same passes. Equal values are counted first; a
+    task then adds up the kernels of its values at all points in NumPy, so what is
+    shuffled is 300 sums a key, side and task. A side of one distinct value has
+    all its mass on the nearest point."""
+    x = values.select("key", "syn", F.col("x").cast("double").alias("x")).where(F.col("x").isNotNull() & ~F.isnan("x"))
+    counted = x.groupBy("key", "syn", "x").count()
+    side = x.groupBy("key", "syn").agg(F.count("x").alias("n"), F.stddev_samp("x").alias("sd"), F.min("x").alias("lo"), F.max("x").alias("hi")).collect()  # two rows a key
+    limits: dict[str, list] = {}
+    for r in side:
+        a, b = limits.get(r.key, (r.lo, r.hi))
+        limits[r.key] = (min(a, r.lo), max(b, r.hi))
+    of = {(r.key, r.syn): (r.sd * r.n**-0.2 if r.lo < r.hi else 0.0, r.lo) for r in side}
+
+    def points(key: str) -> np.ndarray:
+        a, b = limits[key]
+        return a + np.arange(GRID) * ((b - a) / (GRID - 1))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[tuple[str, int], np.ndarray] = {}
+        for batch in batches:
+            key, syn = batch.column("key").to_numpy(zero_copy_only=False), batch.column("syn").to_numpy()
+            x, n = batch.column("x").to_numpy(), batch.column("count").to_numpy()
+            for one in of:
+                mine = np.flatnonzero((key == one[0]) & (syn == one[1]))
+                h, at = of[one][0], points(one[0])
+                sums = total.setdefault(one, np.zeros(GRID))
+                for part in np.array_split(mine, len(mine) // 8192 + 1):
+                    if h > 0 and len(part):
+                        z = (x[part, None] - at[None, :]) / h
+                        sums += n[part] @ np.exp(-0.5 * z * z)
+        for (key, syn), sums in total.items():
+            if sums.any():
+                yield pa.RecordBatch.from_arrays([pa.array([key] * GRID), pa.array([syn] * GRID, pa.int32()), pa.array(np.arange(GRID, dtype=np.int32)), pa.array(sums)], ["key", "syn", "g", "s"])
+
+    sums = counted.mapInArrow(run, "key string, syn int, g int, s double").groupBy("key", "g").agg(*(F.sum(F.when(F.col("syn") == s, F.col("s"))).alias(f"k{s}") for s in (0, 1)))
+    # the grid: 300 rows a key, with the point next to a side of one value
+    grid = []
+    for key in limits:
+        at = points(key)
+        alone = [int(np.argmin(np.abs(at - of[key, s][1]))) if (key, s) in of and not of[key, s][0] > 0 else -1 for s in (0, 1)]
+        grid += [(key, g, float(at[g]), *(None if a < 0 else float(g == a) for a in alone)) for g in range(GRID)]
+    spark = values.sparkSession
+    grid = spark.createDataFrame(grid, "key string, g int, at double, one0 double, one1 double")
+    whole = Window.partitionBy("key")  # 300 rows
+    share = lambda s: F.coalesce(F.col(f"one{s}"), F.try_divide(F.col(f"k{s}"), F.sum(f"k{s}").over(whole)))
+    return grid.join(sums, ["key", "g"], "left").select("key", "g", "at", share(0).alias("p"), share(1).alias("q"))
 
 
 def kl(p: Column, q: Column) -> Column:
@@ -88,8 +125,10 @@ def divergence(real: DataFrame, synthetic: DataFrame, columns: list[str], score:
     """Kullback-Leibler ("kl") or Jensen-Shannon ("js") divergence by column;
     mean and (sample) standard deviation."""
     of = {"kl": kl, "js": js}[score]
-    parts = [densities(_sides(real, synthetic, c)).agg(of(F.col("p"), F.col("q")).alias("value")).select(F.lit(c).alias("key"), "value") for c in columns]
-    return with_stats(reduce(DataFrame.unionByName, parts), sample=True)
+    # one scan a side: a row becomes one for each column
+    each = lambda df, s: df.select(F.explode(F.array(*(F.struct(F.lit(c).alias("key"), F.col(c).cast("double").alias("x")) for c in columns))).alias("e")).select("e.key", F.lit(s).alias("syn"), "e.x")
+    pdf = densities_of(each(real, 0).unionByName(each(synthetic, 1)))
+    return with_stats(pdf.groupBy("key").agg(of(F.col("p"), F.col("q")).alias("value")), sample=True)
 
 
 def _ranks(df: DataFrame, columns: list[str]) -> DataFrame:
@@ -108,14 +147,93 @@ def _ranks(df: DataFrame, columns: list[str]) -> DataFrame:
     return out
 
 
-def _kendall(df: DataFrame, columns: list[str], blocks: int = 8) -> DataFrame:
-    """tau-b for each pair of columns: r_i_j. All pairs of rows are compared,
-    block by block; of each only sums remain."""
-    pairs = [(i, j) for i in range(len(columns)) for j in range(i + 1, len(columns))]
+def concordance(x: np.ndarray, y: np.ndarray, w: np.ndarray) -> float:
+    """Weighted pairs that x and y put in the same order, less those that they
+    put in opposite ones; ties in either are neither. By the bits of y's rank:
+    at each bit, pairs are counted of which one has it and the other hasn't, among ranks
+    that agree above it."""
+    order = np.argsort(x, kind="stable")
+    x, w = x[order], w[order].astype(np.int64)
+    rank = np.unique(y[order], return_inverse=True)[1].astype(np.int64)
+    first = np.concatenate([[0], np.flatnonzero(np.diff(x)) + 1])
+    place = np.repeat(np.arange(len(first)), np.diff(np.concatenate([first, [len(x)]])))  # rank of x
+    total = 0.0
+    for bit in range(int(rank.max(initial=0)).bit_length()):
+        group = rank >> (bit + 1)
+        turn = np.argsort(group, kind="stable")  # within a group still by x
+        g, one, weight, tie = group[turn], (rank[turn] >> bit) & 1, w[turn], place[turn]
+        new = np.concatenate([[True], (np.diff(g) != 0) | (np.diff(tie) != 0)])
+        start = np.flatnonzero(new)
+        of = np.cumsum(new) - 1  # run of one group and one x
+        head = start[np.flatnonzero(np.concatenate([[True], np.diff(g[start]) != 0]))]
+        for has, sign in ((0, 1), (1, -1)):
+            upto = np.concatenate([[0], np.cumsum(weight * (one == has))])
+            before = upto[start][of] - upto[head][np.searchsorted(head, start, side="right") - 1][of]
+            total += sign * float((before.astype(np.longdouble) * weight * (one != has)).sum())
+    return total
+
+
+def _kendall(df: DataFrame, columns: list[str], cells: int = 256) -> DataFrame:
+    """tau-b for each pair of columns: r_i_j.
+
+    Pairs of rows aren't formed. Equal pairs of values are counted first, and both columns
+    are cut into up to ``cells`` ranges. Rows in different ranges of both columns are counted
+    by sums over the cells x cells table; those that share a range of one
+    column by concordance() within it, where rows that share both count once."""
+    spark = df.sparkSession
     x = df.select(*(F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(columns)))
-    sign = [F.signum(F.col(f"l.x{i}") - F.col(f"r.x{i}")) for i in range(len(columns))]
-    n = x.repartition(blocks).alias("l").crossJoin(x.alias("r")).agg(*(F.sum(sign[i] * sign[j]).alias(f"s_{i}_{j}") for i, j in pairs), *(F.sum(sign[i] * sign[i]).alias(f"s_{i}_{i}") for i in range(len(columns))))
-    return n.select(*(F.try_divide(F.col(f"s_{i}_{j}"), F.sqrt(F.col(f"s_{i}_{i}") * F.col(f"s_{j}_{j}"))).alias(f"r_{i}_{j}") for i, j in pairs))
+    names = [f"x{i}" for i in range(len(columns))]
+    # any cuts will do, so approximate ones of about equal shares
+    cuts = x.agg(*(F.percentile_approx(n, [k / cells for k in range(1, cells)], 10_000).alias(n) for n in names)).first()
+    out: dict[str, float | None] = {}
+    for i in range(len(columns)):
+        for j in range(i + 1, len(columns)):
+            edges = [sorted(set(cuts[n] or [])) for n in (names[i], names[j])]
+            both = x.where(F.nanvl(names[i], F.lit(None)).isNotNull() & F.nanvl(names[j], F.lit(None)).isNotNull()).groupBy(F.col(names[i]).alias("x"), F.col(names[j]).alias("y")).agg(F.count(F.lit(1)).alias("w"))
+            both = both.mapInArrow(_ranged(edges), "x double, y double, w long, a int, b int")
+            table = np.zeros((len(edges[0]) + 1, len(edges[1]) + 1), np.int64)
+            for a, b, w in both.groupBy("a", "b").agg(F.sum("w")).collect():  # cells * cells rows at most
+                table[a, b] = w
+            far = _table_concordance(table)
+            ends = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("at")) for k, c in enumerate("ab"))))
+            near = both.select("*", ends.alias("e")).select("x", "y", "w", "a", "b", "e.side", "e.at").groupBy("side", "at").applyInArrow(_near, "s double").agg(F.sum("s")).first()[0] or 0
+            ties = [both.groupBy(c).agg(F.sum("w").cast("decimal(38,0)").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0 for c in "xy"]
+            n = int(table.sum())
+            free = [n * n - int(t) for t in ties]
+            out[f"r_{i}_{j}"] = 2 * (far + near) / (float(free[0]) ** 0.5 * float(free[1]) ** 0.5) if all(free) else None
+    return spark.createDataFrame([tuple(out.values())], ", ".join(f"{c} double" for c in out))
+
+
+def _ranged(edges: list[list[float]]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [pa.array(np.searchsorted(e, batch.column(c).to_numpy(), side="right").astype(np.int32)) for c, e in zip("xy", edges)]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in "xyw"), *at], ["x", "y", "w", "a", "b"])
+
+    return run
+
+
+def _table_concordance(table: np.ndarray) -> int:
+    """Of rows in different ranges of both columns."""
+    t = table.astype(object)  # exact, however many rows
+    below = np.zeros((t.shape[0] + 1, t.shape[1] + 1), object)
+    below[1:, 1:] = t.cumsum(0).cumsum(1)
+    total = 0
+    for a in range(t.shape[0]):
+        row = below[a]  # rows of lower ranges of x, up to each range of y
+        total += int((t[a] * (row[:-1] - (row[-1] - row[1:]))).sum())
+    return total
+
+
+def _near(table: pa.Table) -> pa.Table:
+    """Of rows in one range of a column: all those in a range of x; in a range
+    of y those that are in different ranges of x."""
+    x, y, w, a, b = (table.column(c).to_numpy() for c in "xywab")
+    if table.column("side")[0].as_py() == 0:
+        s = concordance(x, y, w)
+    else:
+        s = concordance(a.astype(float), y, w)
+    return pa.table({"s": pa.array([float(s)])})
 
 
 def coherence(real: DataFrame, synthetic: DataFrame, columns: list[str], kind: str = "pearson", weights: list[float] | None = None) -> DataFrame:
@@ -144,18 +262,21 @@ def standardised(df: DataFrame, columns: list[str], by: DataFrame) -> DataFrame:
 
 
 def nearest_two(query: DataFrame, target: DataFrame, id_: str, columns: list[str], itself: bool) -> DataFrame:
-    """id, d1 and d2: distances of each query row to its two nearest target
-    rows other than itself. Rows meet in a nested loop of partitions; only the
-    two least distances of each partial group are shuffled."""
-    q = query.select(F.col(id_).alias("_q"), *(F.col(c).cast("double").alias(f"_q{i}") for i, c in enumerate(columns)))
-    t = target.select(F.col(id_).alias("_t"), *(F.col(c).cast("double").alias(f"_t{i}") for i, c in enumerate(columns)))
-    pairs = q.crossJoin(t)
-    if itself:
-        pairs = pairs.where("_q <> _t")
-    square = reduce(lambda a, b: a + b, ((F.col(f"_q{i}") - F.col(f"_t{i}")) * (F.col(f"_q{i}") - F.col(f"_t{i}")) for i in range(len(columns))))
-    rank = F.row_number().over(Window.partitionBy("_q").orderBy("d", "_t"))
-    two = pairs.select("_q", "_t", F.sqrt(square).alias("d")).withColumn("k", rank).where("k <= 2")
-    return two.groupBy("_q").agg(F.min(F.when(F.col("k") == 1, F.col("d"))).alias("d1"), F.min(F.when(F.col("k") == 2, F.col("d"))).alias("d2"))
+    """_q, d1 and d2: distances of each query row to its two nearest target
+    rows other than itself, null where there are fewer. Rows with a null in a
+    column are in neither table. Ids are integers."""
+    side = lambda df: df.dropna(subset=columns).select(F.col(id_).cast("long").alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
+
+    def run(a: Block, b: Block) -> pa.RecordBatch:
+        d = distances(a[1], b[1])
+        if itself:
+            d[a[0][:, None] == b[0][None, :]] = np.inf
+        return pa.RecordBatch.from_arrays([pa.array(a[0]), least_of(d, 2)], ["id", "d"])
+
+    parts = over_pairs(side(query), side(target), run, "id long, d array<double>")
+    two = parts.groupBy("id").agg(F.slice(F.array_sort(F.flatten(F.collect_list("d"))), 1, 2).alias("d"))
+    at = lambda i: F.when(F.get("d", F.lit(i)) < float("inf"), F.get("d", F.lit(i)))
+    return two.select(F.col("id").alias("_q"), at(0).alias("d1"), at(1).alias("d2"))
 
 
 def privacy(real: DataFrame, synthetic: DataFrame, id_: str, columns: list[str], kind: str = "dcr", low: float = 0.25, high: float = 0.75) -> DataFrame:

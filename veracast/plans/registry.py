@@ -95,15 +95,25 @@ class BadInput(ValueError):
     status = 400
 
 
-def evaluate(metrics: dict[str, Callable[[], DataFrame]], category: str = "data") -> DataFrame:
+def evaluate(metrics: dict[str, Callable[[], DataFrame]], category: str = "data", errors: dict[str, list[str]] | None = None) -> DataFrame:
     """Rows (metric, category, level, key, stat, value) of all metrics, in one
-    plan. A row whose stat is "instance" is of the instance level."""
+    plan. A row whose stat is "instance" is of the instance level. With
+    ``errors``, what a metric that refuses its data says is noted there, and the others go on."""
     if not metrics:
         raise NotImplemented_("no metric to compute")
     parts = []
     for name, run in metrics.items():
+        try:
+            found = run()
+        except ValueError as refused:
+            if errors is None:
+                raise
+            errors.setdefault(name, []).append(str(refused))
+            continue
         level = F.when(F.col("stat").eqNullSafe("instance"), "instance").otherwise("dataset")
-        parts.append(run().select(F.lit(name).alias("metric"), F.lit(category).alias("category"), level.alias("level"), "key", "stat", "value"))
+        parts.append(found.select(F.lit(name).alias("metric"), F.lit(category).alias("category"), level.alias("level"), "key", "stat", "value"))
+    if not parts:
+        raise BadInput("; ".join(x for said in (errors or {}).values() for x in said))
     return reduce(DataFrame.unionByName, parts)
 
 

@@ -100,10 +100,10 @@ _JS = "greatest((sum(case when p > 0 then p * log2(p / ((p + q) / 2 + 1e-10)) el
 
 def _divergence(of: str) -> str:
     one = lambda c: f"select '{c}' as key, (with {_densities(f'select l_orderkey % 2 as syn, {c}::double as x from lineitem')} select {of} from pdf) as value"
-    return _stats(" union all ".join(one(c) for c in FEW), sample=True)
+    return _stats(" union all ".join(one(c) for c in NUMBERS), sample=True)
 
 
-def _coherence(name: str, columns: list[str], key: str, kind: str) -> str:
+def _coherence(name: str, columns: list[str], key: str, kind: str, cells: bool = False) -> str:
     """Of a table split by the parity of key."""
     side = lambda s: f"{s} as (select {', '.join(f'{c}::double as {c}' for c in columns)} from {name} where {key} % 2 = {0 if s == 'r' else 1})"
     ctes = [side("r"), side("s")]
@@ -115,6 +115,14 @@ def _coherence(name: str, columns: list[str], key: str, kind: str) -> str:
     for s in "rs":
         if kind == "kendall":
             sign = lambda c: f"sign(a.{c} - b.{c})"
+            # pairs of equal values are counted first
+            for i, j in pairs if cells else []:
+                x, y = (sign(columns[k]) for k in (i, j))
+                ctes.append(f"{s}c{i}{j} as (select {columns[i]}, {columns[j]}, count(*) as w from {s} group by 1, 2), {s}m{i}{j} as (select sum(a.w * b.w * {x} * {y}) / sqrt(sum(a.w * b.w * {x} * {x}) * sum(a.w * b.w * {y} * {y})) as c{i}_{j} from {s}c{i}{j} a, {s}c{i}{j} b)")
+            if cells:
+                ctes.append(f"{s}m as (select * from {', '.join(f'{s}m{i}{j}' for i, j in pairs)})")
+                one[s] = f"{s}m"
+                continue
             values = ", ".join(f"sum({sign(columns[i])} * {sign(columns[j])}) / sqrt(sum({sign(columns[i])} * {sign(columns[i])}) * sum({sign(columns[j])} * {sign(columns[j])})) as c{i}_{j}" for i, j in pairs)
             ctes.append(f"{s}m as (select {values} from {s} a, {s} b)")
         else:
@@ -157,7 +165,7 @@ _QUARTILES = f"""with q as (select quantile_cont(value, 0.25) as a, quantile_con
 _VIF2 = f"""with g as (select sum(l_quantity * l_quantity) as a, sum(l_quantity * l_discount) as b, sum(l_discount * l_discount) as c from lineitem), v as (select 1 / (1 - b * b / (a * c)) as v from g)
   {_row("l_quantity", "vif", "round(v, 6)")} from v union all {_row("l_discount", "vif", "round(v, 6)")} from v union all {_row(None, None, "(v > 5)::int")} from v"""
 
-_UNIQUE = f"""{_row(None, None, "round(100.0::double * sum(case when c > 1 then c else 0 end) / sum(c), 6)")} from (select count(*) as c from lineitem group by l_linenumber, {", ".join(FEW)})"""
+_UNIQUE = f"""{_row(None, None, "round(100.0::double * sum(case when c > 1 then c else 0 end) / sum(c), 6)")} from (select count(*) as c from lineitem group by l_linenumber, {", ".join(NUMBERS)})"""
 
 
 def _k_anonymous(name: str, columns: str) -> str:
@@ -173,7 +181,6 @@ def _changes(spark: SparkSession, d: str) -> DataFrame:
 _CHANGES = "select o_orderpriority, round((avg(o_totalprice) filter (o_custkey % 2 = 0) - avg(o_totalprice) filter (o_custkey % 2 = 1)) / (avg(o_totalprice) filter (o_custkey % 2 = 1) + 1e-20) * 100, 6) as change from orders group by 1"
 
 PART = ["p_size", "p_retailprice"]
-SUPPLIER = ["s_nationkey", "s_acctbal"]
 
 
 def _split(spark: SparkSession, d: str, name: str, key: str) -> tuple[DataFrame, DataFrame]:
@@ -183,7 +190,7 @@ def _split(spark: SparkSession, d: str, name: str, key: str) -> tuple[DataFrame,
 
 QUERIES = {
     "tab_missing": (lambda s, d: tabular.missing(_gappy(s, d), NUMBERS), _MISSING),
-    "tab_uniqueness": (lambda s, d: tabular.uniqueness(_lineitem(s, d), ["l_linenumber", *FEW]), _UNIQUE),
+    "tab_uniqueness": (lambda s, d: tabular.uniqueness(_lineitem(s, d), ["l_linenumber", *NUMBERS]), _UNIQUE),
     "tab_outliers": (lambda s, d: tabular.outliers(_lineitem(s, d), NUMBERS), _stats(" union all ".join(map(_outlier, NUMBERS)))),
     "tab_correlation": (lambda s, d: tabular.correlation(_lineitem(s, d), NUMBERS, 0.05), _stats(" union all ".join(map(_correlated, NUMBERS)))),
     "tab_dimcurse": (lambda s, d: tabular.dim_curse(_lineitem(s, d), NUMBERS), f"{_row(None, None, 'count(*) / 4.0::double')} from lineitem"),
@@ -199,11 +206,12 @@ QUERIES = {
     "tab_tv_similarity": (lambda s, d: synthesis.tv_similarity(*_halves(s, d), "l_returnflag"), f"select key, null::varchar as stat, round(value, 6) as value from ({_tv('l_returnflag')})"),
     "tab_ks_similarity": (lambda s, d: synthesis.ks_similarity(*_halves(s, d), "l_extendedprice"), f"select key, null::varchar as stat, round(value, 6) as value from ({_ks('l_extendedprice')})"),
     "tab_stat_sim": (lambda s, d: synthesis.statistical_similarity(*_halves(s, d), ["l_linenumber", "l_tax"], ["l_quantity", "l_extendedprice"]), _stats(" union all ".join([_tv("l_linenumber"), _tv("l_tax"), _ks("l_quantity"), _ks("l_extendedprice")]))),
-    "tab_divergence_kl": (lambda s, d: synthesis.divergence(*_halves(s, d), FEW, "kl"), _divergence(_KL)),
-    "tab_divergence_js": (lambda s, d: synthesis.divergence(*_halves(s, d), FEW, "js"), _divergence(_JS)),
+    "tab_divergence_kl": (lambda s, d: synthesis.divergence(*_halves(s, d), NUMBERS, "kl"), _divergence(_KL)),
+    "tab_divergence_js": (lambda s, d: synthesis.divergence(*_halves(s, d), NUMBERS, "js"), _divergence(_JS)),
     "tab_coherence_pearson": (lambda s, d: synthesis.coherence(*_halves(s, d), NUMBERS), _coherence("lineitem", NUMBERS, "l_orderkey", "pearson")),
-    "tab_coherence_spearman": (lambda s, d: synthesis.coherence(*_split(s, d, "part", "p_partkey"), PART, "spearman"), _coherence("part", PART, "p_partkey", "spearman")),
-    "tab_coherence_kendall": (lambda s, d: synthesis.coherence(*_split(s, d, "supplier", "s_suppkey"), SUPPLIER, "kendall"), _coherence("supplier", SUPPLIER, "s_suppkey", "kendall")),
+    "tab_coherence_spearman": (lambda s, d: synthesis.coherence(*_halves(s, d), NUMBERS, "spearman"), _coherence("lineitem", NUMBERS, "l_orderkey", "spearman")),
+    "tab_coherence_kendall": (lambda s, d: synthesis.coherence(*_halves(s, d), FEW, "kendall"), _coherence("lineitem", FEW, "l_orderkey", "kendall", cells=True)),
+    "tab_coherence_kendall_part": (lambda s, d: synthesis.coherence(*_split(s, d, "part", "p_partkey"), PART, "kendall"), _coherence("part", PART, "p_partkey", "kendall")),
     "tab_dcr": (lambda s, d: synthesis.privacy(*_records(s, d), "c_custkey", ["a", "n"], "dcr"), _privacy("dcr")),
     "tab_nndr": (lambda s, d: synthesis.privacy(*_records(s, d), "c_custkey", ["a", "n"], "nndr"), _privacy("nndr")),
     "tab_change": (_changes, _CHANGES),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SUFFIXES = "*.{png,jpg,jpeg,bmp}"
@@ -12,10 +12,12 @@ ANNOTATIONS = (
 )
 
 
-def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
+def read_images(spark: SparkSession, path: str | list[str], listed: DataFrame | None = None) -> DataFrame:
     """(image, height, width, data): the file's stem and three bytes a pixel,
-    red first. Files that can't be decoded are left out."""
+    red first. Files that can't be decoded are left out, as are those whose path isn't in ``listed``, if it is given."""
     df = spark.read.format("image").option("dropInvalid", "true").option("recursiveFileLookup", "true").option("pathGlobFilter", SUFFIXES).load(path)
+    if listed is not None:
+        df = df.join(listed, _plain(F.col("image.origin")) == F.col("_listed"), "left_semi")
     stem = F.regexp_extract(F.col("image.origin"), r"([^/]+?)(?:\.[^./]*)?$", 1)
 
     def red_first(batches):
@@ -34,9 +36,19 @@ def read_images(spark: SparkSession, path: str | list[str]) -> DataFrame:
 
 
 def listed_images(spark: SparkSession, path: str, column: str = "image") -> DataFrame:
-    """The pictures that a file of JSON lines names in ``column``."""
-    names = [r[0] for r in spark.read.json(path).select(column).where(F.col(column).isNotNull()).distinct().collect()]  # paths, not pictures
-    return read_images(spark, names)
+    """The pictures that a file of JSON lines names in ``column``. Their folders
+    are read, and pictures that aren't in the list left out by a join, so only the names of
+    folders reach the driver."""
+    listed = spark.read.json(path).select(_plain(F.col(column)).alias("_listed")).where("_listed is not null").distinct()
+    folders = [r[0] for r in listed.select(F.regexp_extract("_listed", r"^(.*)/[^/]*$", 1).alias("f")).distinct().collect()]
+    if not folders:
+        folders = [path.rpartition("/")[0] or "."]
+    return read_images(spark, folders, listed)
+
+
+def _plain(path: Column) -> Column:
+    """A path without the scheme of a local file."""
+    return F.regexp_replace(path, "^file:/+", "/")
 
 
 def read_annotations(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame, DataFrame]:

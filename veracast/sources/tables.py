@@ -37,6 +37,34 @@ def read_xlsx(spark: SparkSession, path: str) -> DataFrame:
     return spark.createDataFrame(pd.read_excel(path))
 
 
+def table_of(spark: SparkSession, source: object = None, path: str | None = None, columns: list[str] | None = None) -> DataFrame:
+    """A table from whatever there is: a DataFrame, a pandas or Arrow table, a
+    NumPy array, rows, or a function (of the session, or of nothing) that gives
+    one of these; else the file or folder at path."""
+    import inspect
+
+    import numpy as np
+    import pandas as pd
+    import pyarrow as pa
+
+    if callable(source) and not isinstance(source, DataFrame):
+        source = source(spark) if inspect.signature(source).parameters else source()
+    if source is None:
+        if path is None:
+            raise ValueError("neither data nor a path")
+        df = read_table(spark, path)
+    elif isinstance(source, DataFrame):
+        df = source
+    elif isinstance(source, np.ndarray):
+        source = source.reshape(len(source), -1)
+        df = spark.createDataFrame(pd.DataFrame(source, columns=columns or [f"att_{i}" for i in range(source.shape[1])]))
+    elif isinstance(source, (pd.DataFrame, pa.Table)):
+        df = spark.createDataFrame(source)
+    else:
+        df = spark.createDataFrame(source, columns)
+    return df.select(*columns) if columns else df
+
+
 def read_table(spark: SparkSession, path: str, **options) -> DataFrame:
     """A file or folder of files of one suffix, below it or in its subfolders."""
     suffix = path.rstrip("/").rpartition(".")[2].lower()
