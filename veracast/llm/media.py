@@ -4,8 +4,9 @@ Markers are parsed, entropy-coded scans are Huffman-decoded, and of each
 luminance block only the DC coefficient is dequantised: it is the block's mean
 level, so the DC coefficients are the picture at an eighth of its size. AC
 coefficients have to be decoded to find the next block, but are thrown away,
-and no inverse transform is made. A table of 65,536 entries gives code length
-and symbol of any 16 bits ahead.
+and no inverse transform is made. As their values don't matter, a table tells
+of any 16 bits ahead how many bits and coefficients all the AC codes take that
+begin in them, up to the block's end: several symbols a look-up.
 
 Stored are the picture's dimensions and components, the thumbnail, and two
 hashes of it: an exact one and a 64-bit difference hash for near matches.
@@ -37,28 +38,60 @@ class Unsupported(ValueError):
     """A JPEG, but not a baseline (sequential, Huffman-coded, 8-bit) one."""
 
 
-@lru_cache(256)
-def _lookup(counts: bytes, symbols: bytes) -> tuple[bytes, bytes]:
+def _symbols(counts: bytes, symbols: bytes) -> tuple[np.ndarray, np.ndarray]:
     """(code length, symbol) by the next 16 bits; length 0 where no code fits."""
-    length, symbol = bytearray(65536), bytearray(65536)
+    length, symbol = np.zeros(65536, np.uint8), np.zeros(65536, np.uint8)
     code = k = 0
     for bits in range(1, 17):
         for _ in range(counts[bits - 1]):
             first, span = code << (16 - bits), 1 << (16 - bits)
             if first + span > 65536 or k >= len(symbols):
                 raise Corrupt("Huffman table")
-            length[first : first + span] = bytes([bits]) * span
-            symbol[first : first + span] = bytes([symbols[k]]) * span
+            length[first : first + span] = bits
+            symbol[first : first + span] = symbols[k]
             code += 1
             k += 1
         code <<= 1
-    return bytes(length), bytes(symbol)
+    return length, symbol
+
+
+@lru_cache(64)
+def _dc_lookup(counts: bytes, symbols: bytes) -> tuple[bytes, bytes]:
+    length, symbol = _symbols(counts, symbols)
+    return length.tobytes(), symbol.tobytes()
+
+
+#: added to a block's place where its end is reached
+_END = 1 << 10
+
+
+@lru_cache(64)
+def _ac_lookup(counts: bytes, symbols: bytes) -> tuple[list[int], list[int], list[int], list[int]]:
+    """By the next 16 bits: (bits, coefficients) of the first symbol, 0 bits where no code fits, then
+    (bits, coefficients) of all symbols whose codes lie within them, up to
+    and with an end of block; this counts as _END coefficients."""
+    length, symbol = (x.astype(np.int64) for x in _symbols(counts, symbols))
+    size = symbol & 15
+    step = np.where(length > 0, length + size, 0)
+    skip = np.where(size > 0, (symbol >> 4) + 1, np.where(symbol == 0xF0, 16, _END))
+    ahead = np.arange(65536)
+    used, passed = step.copy(), np.where(length > 0, skip, 0)
+    live = np.flatnonzero((length > 0) & (passed < _END) & (used < 16))
+    while len(live):
+        rest = (ahead[live] << used[live]) & 0xFFFF
+        whole = (length[rest] > 0) & (length[rest] + used[live] <= 16)
+        live, rest = live[whole], rest[whole]
+        used[live] += step[rest]
+        passed[live] += skip[rest]
+        live = live[(passed[live] < _END) & (used[live] < 16)]
+    return step.tolist(), skip.tolist(), used.tolist(), passed.tolist()
 
 
 class _Component:
     def __init__(self, id_: int, h: int, v: int, quant: int):
         self.id, self.h, self.v, self.quant = id_, h, v, quant
-        self.dc = self.ac = (b"", b"")
+        self.dc: tuple[bytes, bytes] = (b"", b"")
+        self.ac: tuple[list[int], ...] = ()
         self.across = self.down = 0
         self.values = np.zeros((0, 0), np.int32)
 
@@ -78,53 +111,56 @@ def _decode(data: bytes, parts: list[_Component], single: bool, mcus: int, acros
             start = at + 2
         at += 2
     per = restart or mcus
+    # the blocks of an MCU: which component, its tables, and where in it the block lies
+    blocks = [(p, *c.dc, *c.ac, y, x) for p, c in enumerate(parts) for y in range(1 if single else c.v) for x in range(1 if single else c.h)]
     for n, first in enumerate(range(0, mcus, per)):
         if n >= len(segments):
             raise Corrupt("scan ends early")
         raw = segments[n].replace(b"\xff\x00", b"\xff")
         total = len(raw) * 8
-        raw += b"\xff" * 8
+        # any 32 bits from a byte on, so that a look-up needs no slice
+        padded = np.frombuffer(raw + b"\xff" * 12, np.uint8).astype(np.int64)
+        word = ((padded[:-3] << 24) | (padded[1:-2] << 16) | (padded[2:-1] << 8) | padded[3:]).tolist()
         pos = 0
         before = [0] * len(parts)
-        for mcu in range(first, min(first + per, mcus)):
-            my, mx = divmod(mcu, across)
-            for p, c in enumerate(parts):
-                dc_length, dc_symbol = c.dc
-                ac_length, ac_symbol = c.ac
-                h, v = (1, 1) if single else (c.h, c.v)
-                for y in range(my * v, my * v + v):
-                    for x in range(mx * h, mx * h + h):
-                        byte = pos >> 3
-                        ahead = (int.from_bytes(raw[byte : byte + 3], "big") >> (8 - (pos & 7))) & 0xFFFF
-                        bits, size = dc_length[ahead], dc_symbol[ahead]
-                        if not bits or size > 11:
-                            raise Corrupt("DC code")
-                        pos += bits
-                        if size:
-                            byte = pos >> 3
-                            value = (int.from_bytes(raw[byte : byte + 3], "big") >> (24 - (pos & 7) - size)) & ((1 << size) - 1)
-                            pos += size
-                            before[p] += value if value >> (size - 1) else value - (1 << size) + 1
-                        c.values[y, x] = before[p]
-                        k = 1
-                        while k < 64:
-                            byte = pos >> 3
-                            ahead = (int.from_bytes(raw[byte : byte + 3], "big") >> (8 - (pos & 7))) & 0xFFFF
-                            bits, rs = ac_length[ahead], ac_symbol[ahead]
-                            if not bits:
-                                raise Corrupt("AC code")
-                            size = rs & 15
-                            pos += bits + size
-                            if size:
-                                k += (rs >> 4) + 1
-                            elif rs == 0xF0:
-                                k += 16
-                            else:
-                                break
-                        if k > 64:
-                            raise Corrupt("AC run")
-                        if pos > total:
-                            raise Corrupt("scan ends early")
+        levels: list[int] = []
+        try:
+            for _ in range(min(per, mcus - first)):
+                for p, dc_length, dc_symbol, step, skip, used, passed, _y, _x in blocks:
+                    ahead = (word[pos >> 3] >> (16 - (pos & 7))) & 0xFFFF
+                    bits, size = dc_length[ahead], dc_symbol[ahead]
+                    if not bits or size > 11:
+                        raise Corrupt("DC code")
+                    pos += bits
+                    if size:
+                        value = (word[pos >> 3] >> (32 - (pos & 7) - size)) & ((1 << size) - 1)
+                        pos += size
+                        before[p] += value if value >> (size - 1) else value - (1 << size) + 1
+                    levels.append(before[p])
+                    k = 1
+                    while k < 64:
+                        ahead = (word[pos >> 3] >> (16 - (pos & 7))) & 0xFFFF
+                        more = passed[ahead]
+                        if k + (more & (_END - 1)) < 64 and more:
+                            pos += used[ahead]
+                            k += more
+                        elif step[ahead]:  # the block may end within these symbols: one at a time
+                            pos += step[ahead]
+                            k += skip[ahead]
+                        else:
+                            raise Corrupt("AC code")
+                    if 64 < k < _END:
+                        raise Corrupt("AC run")
+                    if pos > total:
+                        raise Corrupt("scan ends early")
+        except IndexError:
+            raise Corrupt("scan ends early") from None
+        # place them: MCU by MCU, block by block
+        mcu = np.arange(first, first + len(levels) // len(blocks))
+        table = np.array(levels, np.int32).reshape(-1, len(blocks))
+        for i, (p, *_, y, x) in enumerate(blocks):
+            h, v = (1, 1) if single else (parts[p].h, parts[p].v)
+            parts[p].values[mcu // across * v + y, mcu % across * h + x] = table[:, i]
 
 
 def decode(data: bytes) -> tuple[int, int, int, np.ndarray]:
@@ -132,7 +168,7 @@ def decode(data: bytes) -> tuple[int, int, int, np.ndarray]:
     if data[:2] != b"\xff\xd8":
         raise Corrupt("no start of image")
     quant: dict[int, int] = {}
-    huffman: dict[int, tuple[bytes, bytes]] = {}
+    huffman: dict[int, tuple] = {}
     frame: list[_Component] = []
     width = height = restart = 0
     seen: set[int] = set()
@@ -170,7 +206,7 @@ def decode(data: bytes) -> tuple[int, int, int, np.ndarray]:
                 end = k + 17 + sum(counts)
                 if end > len(body):
                     raise Corrupt("Huffman table")
-                huffman[body[k]] = _lookup(bytes(counts), bytes(body[k + 17 : end]))
+                huffman[body[k]] = (_ac_lookup if body[k] >> 4 else _dc_lookup)(bytes(counts), bytes(body[k + 17 : end]))
                 k = end
         elif marker in (0xC0, 0xC1):
             if len(body) < 6 or len(body) < 6 + 3 * body[5]:
@@ -254,7 +290,8 @@ def media_columns(media: DataFrame, id_column: str = "media_id", data_column: st
 
     status is "ok", "missing" (null), "empty", "unsupported" (a JPEG that isn't
     baseline) or "corrupt"; the other columns are null unless it is "ok". A
-    null id is carried along, repeated rows are decoded one by one. Other
+    null id is carried along, repeated rows are decoded one by one, and pictures
+    of any size are decoded whole. Other
     columns aren't looked at; an empty table gives an empty result."""
     rows = Rows(media)
     asked = rows.df.select(rows[id_column].cast("long").alias("media_id"), rows[data_column].cast("binary").alias("data"))
@@ -304,84 +341,102 @@ def _codes(table: tuple[bytes, bytes]) -> dict[int, tuple[int, int]]:
 
 
 _DC, _AC = _codes(_DC_CODE), _codes(_AC_CODE)
+_DC_BITS, _AC_BITS = (np.array([table.get(i, (0, 0)) for i in range(256)], np.int64) for table in (_DC, _AC))
+
+
+def _scans(coefficients: np.ndarray, per: int) -> list[bytes]:
+    """Entropy-coded blocks, rows of 64 coefficients in zigzag order, as runs of
+    ``per`` blocks that can be decoded by themselves, padded with ones and stuffed."""
+    n = len(coefficients)
+    dc = np.diff(coefficients[:, 0], prepend=0)
+    dc[::per] = coefficients[::per, 0]
+    block, at = np.nonzero(coefficients[:, 1:])
+    value, at = coefficients[block, at + 1], at + 1
+    same = np.concatenate([[False], block[1:] == block[:-1]])
+    run = at - np.where(same, np.concatenate([[0], at[:-1]]), 0) - 1
+    long = np.repeat(np.flatnonzero(run > 15), run[run > 15] // 16)  # zero runs of sixteen
+    open_ = np.ones(n, bool)
+    open_[block[at == 63]] = False
+    ends = np.flatnonzero(open_)
+    size = lambda v: np.frexp(np.abs(v).astype(np.float64))[1].astype(np.int64)  # bit length
+    none = lambda x: np.zeros(len(x), np.int64)
+    dc_size, ac_size = size(dc), size(value)
+    tokens = [  # order, code and its bits, value and its bits
+        (np.arange(n) * 66, *_DC_BITS[dc_size].T, dc, dc_size),
+        (block[long] * 66 + at[long], *_AC_BITS[none(long) + 0xF0].T, none(long), none(long)),
+        (block * 66 + at, *_AC_BITS[run % 16 * 16 + ac_size].T, value, ac_size),
+        (ends * 66 + 64, *_AC_BITS[none(ends)].T, none(ends), none(ends)),
+    ]
+    order, code, bits, value, sizes = (np.concatenate(x) for x in zip(*tokens))
+    bits += sizes
+    filled = np.bincount(order // 66 // per, bits, -(-n // per)).astype(np.int64)
+    pad = -filled % 8
+    order = np.concatenate([order, np.minimum(np.arange(1, len(pad) + 1) * per, n) * 66 - 1])
+    whole = np.concatenate([(code << sizes) | np.where(value >= 0, value, value + (1 << sizes) - 1), (1 << pad) - 1])
+    bits = np.concatenate([bits, pad])
+    turn = np.argsort(order, kind="stable")
+    whole, bits = whole[turn], bits[turn]
+    end = np.cumsum(bits)
+    each = np.repeat(np.arange(len(bits)), bits)
+    out = np.packbits(((whole[each] >> (end[each] - 1 - np.arange(end[-1]))) & 1).astype(np.uint8)).tobytes()
+    cuts = np.concatenate([[0], np.cumsum((filled + pad) // 8)]).tolist()
+    return [out[i:j].replace(b"\xff", b"\xff\x00") for i, j in zip(cuts, cuts[1:])]
 
 
 def encode(grey: np.ndarray, quality: int = 75, restart: int = 0) -> bytes:
     """A grey picture, uint8 rows, as baseline JPEG."""
-    height, width = grey.shape
+    return encode_all(grey[None], quality, restart)[0]
+
+
+def encode_all(grey: np.ndarray, quality: int = 75, restart: int = 0) -> list[bytes]:
+    """Grey pictures of one size, (pictures, rows, columns) of uint8, each as baseline JPEG."""
+    count, height, width = grey.shape
     scale = 5000 // quality if quality < 50 else 200 - 2 * quality
     quant = np.clip((_QUANT * scale + 50) // 100, 1, 255)
-    padded = np.pad(grey, ((0, -height % 8), (0, -width % 8)), mode="edge").astype(np.float64) - 128
-    tiles = padded.reshape(padded.shape[0] // 8, 8, -1, 8).swapaxes(1, 2).reshape(-1, 8, 8)
+    padded = np.pad(grey, ((0, 0), (0, -height % 8), (0, -width % 8)), mode="edge").astype(np.float64) - 128
+    tiles = padded.reshape(count, padded.shape[1] // 8, 8, -1, 8).swapaxes(2, 3).reshape(-1, 8, 8)
     coefficients = np.rint((_DCT @ tiles @ _DCT.T).reshape(-1, 64) / quant).astype(np.int64)[:, ZIGZAG]
-    out, acc, n, before = bytearray(), 0, 0, 0
-
-    def flush(last: bool) -> None:
-        nonlocal acc, n
-        if last and n % 8:
-            pad = 8 - n % 8
-            acc, n = (acc << pad) | ((1 << pad) - 1), n + pad
-        whole = n // 8
-        out.extend((acc >> (n - 8 * whole)).to_bytes(whole, "big").replace(b"\xff", b"\xff\x00"))
-        n -= 8 * whole
-        acc &= (1 << n) - 1
-
-    for i, block in enumerate(coefficients):
-        if restart and i and i % restart == 0:
-            flush(True)
-            out += bytes([0xFF, 0xD0 + (i // restart - 1) % 8])
-            before = 0
-        value = int(block[0]) - before
-        before = int(block[0])
-        size = abs(value).bit_length()
-        code, bits = _DC[size]
-        acc, n = (((acc << bits) | code) << size) | (value if value > 0 else value + (1 << size) - 1), n + bits + size
-        run = 0
-        there = np.flatnonzero(block[1:])
-        last = 0
-        for k in there.tolist():
-            run, last = k - last, k + 1
-            while run > 15:
-                code, bits = _AC[0xF0]
-                acc, n, run = (acc << bits) | code, n + bits, run - 16
-            value = int(block[k + 1])
-            size = abs(value).bit_length()
-            code, bits = _AC[run * 16 + size]
-            acc, n = (((acc << bits) | code) << size) | (value if value > 0 else value + (1 << size) - 1), n + bits + size
-        if last < 63:
-            code, bits = _AC[0]
-            acc, n = (acc << bits) | code, n + bits
-        if n > 4096:
-            flush(False)
-    flush(True)
+    blocks = len(coefficients) // count
+    if restart:
+        scans = [b"".join(s + bytes([0xFF, 0xD0 + i % 8]) for i, s in enumerate(_scans(own, restart)))[:-2] for own in coefficients.reshape(count, blocks, 64)]
+    else:
+        scans = _scans(coefficients, blocks)
     part = lambda marker, body: b"\xff" + bytes([marker]) + struct.pack(">H", len(body) + 2) + body
     head = b"\xff\xd8" + part(0xDB, b"\0" + bytes(quant[ZIGZAG].astype(np.uint8)))
     head += part(0xC0, struct.pack(">BHHB", 8, height, width, 1) + b"\1\x11\0")
     head += part(0xC4, b"\0" + b"".join(_DC_CODE)) + part(0xC4, b"\x10" + b"".join(_AC_CODE))
     if restart:
         head += part(0xDD, struct.pack(">H", restart))
-    return head + part(0xDA, b"\1\1\0\0\x3f\0") + bytes(out) + b"\xff\xd9"
+    return [head + part(0xDA, b"\1\1\0\0\x3f\0") + scan + b"\xff\xd9" for scan in scans]
 
 
 def embedding_media(embeddings: DataFrame) -> DataFrame:
     """media_id and data: each embedding drawn as a JPEG, a row of blocks for
     eight numbers, from -3 (black) to 3 (white), with a ramp inside each block.
     It stands in for a table of media, which the test data has none of. A null
-    or empty embedding has no picture."""
+    or empty embedding has no picture; of a very long one the picture is as
+    tall. Null ids are carried along, repeated rows are drawn one by one, other columns aren't
+    looked at, and an empty table gives an empty one."""
     rows = Rows(embeddings)
     asked = rows.df.select(rows["vec_id"].cast("long").alias("media_id"), rows["embedding"].cast("array<float>").alias("e"))
     ramp = np.tile(np.linspace(-8, 8, 8), (8, 1))
 
-    def draw(values: list[float] | None) -> bytes | None:
-        if not values:
-            return None
-        v = np.array([np.nan if x is None else x for x in values], np.float64)
-        v = np.nan_to_num(np.pad(v, (0, -len(v) % 8)).reshape(-1, 8))
+    def draw(some: np.ndarray) -> list[bytes]:
+        """Pictures of embeddings of one length, rows of numbers."""
+        v = np.nan_to_num(np.pad(some, ((0, 0), (0, -some.shape[1] % 8))).reshape(len(some), -1, 8))
         level = np.clip((v + 3) / 6 * 255, 0, 255)
-        return encode(np.clip(np.rint(np.kron(level, np.ones((8, 8))) + np.tile(ramp, v.shape)), 0, 255).astype(np.uint8))
+        return encode_all(np.clip(np.rint(np.kron(level, np.ones((1, 8, 8))) + np.tile(ramp, v.shape[1:])), 0, 255).astype(np.uint8))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column("media_id"), pa.array([draw(x) for x in batch.column("e").to_pylist()], pa.binary())], ["media_id", "data"])
+            for k in range(0, batch.num_rows, 256):
+                part = batch.slice(k, 256)
+                values = part.column("e").to_pylist()
+                data: list[bytes | None] = [None] * len(values)
+                for n in {len(x) for x in values if x}:
+                    at = [i for i, x in enumerate(values) if x and len(x) == n]
+                    for i, drawn in zip(at, draw(np.array([[np.nan if y is None else y for y in values[i]] for i in at], np.float64))):
+                        data[i] = drawn
+                yield pa.RecordBatch.from_arrays([part.column("media_id"), pa.array(data, pa.binary())], ["media_id", "data"])
 
     return asked.mapInArrow(run, "media_id long, data binary")
