@@ -22,7 +22,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import Rows, reliable, small
+from .common import Rows, reliable
 
 RULES = ("empty", "symbols", "capitals", "exclaims", "repeats", "word_length", "digits")
 SYMBOLS = "#$&%*|"
@@ -31,22 +31,17 @@ TRUSTED, BAD = 0.02, 0.5
 _MOST = 1e6
 
 
-def _kinds(t: Column) -> Column:
-    """t with a letter of its kind for each character that a rule counts; one
-    pass per character, so that what follows are plain substring searches."""
-    digits = "0123456789"
-    return F.translate(t, UPPER + digits + SYMBOLS + "\n\t\r", "A" * len(UPPER) + "0" * len(digits) + "#" * len(SYMBOLS) + "   ")
-
-
 def _measures(rows: Rows) -> DataFrame:
+    """Characters, blanks, symbols, capitals, exclamation marks, digits and
+    distinct words. The words are split off once, and tell the blanks too."""
     t = F.coalesce(rows["text"], F.lit(""))
     flat = t
     for blank in "\n\t\r":
         flat = F.replace(flat, F.lit(blank), F.lit(" "))
-    df = rows.df.withColumn("_kinds", _kinds(t)).withColumn("_n", F.length("_kinds").cast("long"))
-    for name, kind in (("_gaps", " "), ("_sym", "#"), ("_cap", "A"), ("_exc", "!"), ("_dig", "0")):
-        df = df.withColumn(name, F.col("_n") - F.length(F.replace("_kinds", F.lit(kind), F.lit(""))))
-    return df.withColumn("_dis", F.size(F.array_distinct(F.split(flat, " ", -1))).cast("long")).drop("_kinds")
+    df = rows.df.withColumn("_words", F.split(flat, " ", -1))
+    number = lambda kind: F.regexp_count(t, F.lit(kind)).cast("long")
+    df = df.select("*", F.length(t).cast("long").alias("_n"), (F.size("_words") - 1).cast("long").alias("_gaps"), number(f"[{SYMBOLS}]").alias("_sym"), number("[A-Z]").alias("_cap"), number("!").alias("_exc"), number("[0-9]").alias("_dig"), F.size(F.array_distinct("_words")).cast("long").alias("_dis"))
+    return df.drop("_words")
 
 
 def _fails() -> list[tuple[str, str]]:
@@ -88,31 +83,60 @@ def host_verdicts(docs: DataFrame) -> DataFrame:
     return judged.select("host", "n_docs", "n_failed", "rate", verdict.alias("verdict"))
 
 
-def _judged(docs: DataFrame, most_hosts: int) -> tuple[Rows, DataFrame]:
-    rows = Rows(docs)
-    hosts = reliable(host_verdicts(docs).select(F.col("host").alias("_host"), F.col("rate").alias("_rate"), F.col("verdict").alias("_verdict")))
-    df = _counted(rows).join(small(hosts, most_hosts), rows["source"].eqNullSafe(F.col("_host")), "left")
-    rejected = F.expr("case _verdict when 'trusted' then _fail >= 2 when 'bad' then _fail >= 1 or _near >= 2 else _fail >= 1 end")
-    return rows, df.withColumn("_rejected", rejected)
+_REJECTED = "case _verdict when 'trusted' then _fail >= 2 when 'bad' then _fail >= 1 or _near >= 2 else _fail >= 1 end"
+#: whether a document is rejected depends on its host
+_OPEN = "_fail = 1 or _fail = 0 and _near >= 2"
+
+
+def _joined(df: DataFrame, host: Column, hosts: DataFrame, most_hosts: int, hot: int) -> DataFrame:
+    """df with _rate and _verdict of its host. Hosts are broadcast if there are
+    at most most_hosts; else those of more than ``hot`` documents are (or, of
+    so many of them, most_hosts of those with the most), and the others are
+    joined in a shuffle in which rows of the broadcast ones spread over all tasks."""
+    if hosts.count() <= most_hosts:
+        return df.join(F.broadcast(hosts.drop("_docs")), host.eqNullSafe(F.col("_host")), "left")
+    big = hosts.where(F.col("_docs") > hot).orderBy(F.desc("_docs"), "_host").limit(most_hosts)
+    big = reliable(big.select(F.col("_host").alias("_big"), F.col("_rate").alias("_big_rate"), F.col("_verdict").alias("_big_verdict")))
+    df = df.join(F.broadcast(big), host.eqNullSafe(F.col("_big")), "left")
+    spread = F.when(F.col("_big_verdict").isNotNull(), F.pmod(F.monotonically_increasing_id(), F.lit(1 << 16)) + 1).otherwise(0)
+    key = F.when(F.col("_big_verdict").isNull(), host)
+    df = df.select("*", spread.alias("_spread"), key.alias("_key"))
+    small_hosts = hosts.select("_host", F.lit(0).cast("long").alias("_no_spread"), F.col("_rate").alias("_r"), F.col("_verdict").alias("_v"))
+    df = df.join(small_hosts, (F.col("_spread") == F.col("_no_spread")) & F.col("_key").eqNullSafe(F.col("_host")), "left")
+    return df.withColumn("_rate", F.coalesce("_big_rate", "_r")).withColumn("_verdict", F.coalesce("_big_verdict", "_v"))
 
 
-def quality_verdicts(docs: DataFrame, most_hosts: int = 500_000) -> DataFrame:
+def _hosts(docs: DataFrame) -> DataFrame:
+    return reliable(host_verdicts(docs).select(F.col("host").alias("_host"), F.col("n_docs").alias("_docs"), F.col("rate").alias("_rate"), F.col("verdict").alias("_verdict")))
+
+
+def quality_verdicts(docs: DataFrame, most_hosts: int = 500_000, hot: int = 1_000_000) -> DataFrame:
     """doc_id, host, failed (a bit for each of RULES), n_failed, n_near,
     host_rate, host_verdict and rejected of every row of docs.
 
     A null text counts as empty and fails the rule "empty", as does one of
-    blanks only. Documents without a source are one host, null. A null doc_id
+    blanks only. A very long text is measured whole. Documents without a source are one host, null. A null doc_id
     and repeated rows are kept and judged one by one. Other columns aren't
     looked at; an empty table gives an empty result. Hosts are broadcast up to
-    ``most_hosts`` of them; beyond, the join is shuffled."""
-    rows, df = _judged(docs, most_hosts)
-    return df.select(rows["doc_id"].alias("doc_id"), rows["source"].alias("host"), F.col("_mask").alias("failed"), F.col("_fail").alias("n_failed"), F.col("_near").alias("n_near"), F.round("_rate", 6).alias("host_rate"), F.col("_verdict").alias("host_verdict"), F.col("_rejected").alias("rejected"))
-
-
-def keep_good(docs: DataFrame, most_hosts: int = 500_000) -> DataFrame:
-    """docs without those that quality_verdicts() rejects; all columns."""
-    rows, df = _judged(docs, most_hosts)
-    return rows.give(df.where(~F.col("_rejected")))
+    ``most_hosts`` of them; beyond, the join is shuffled, without texts, and only hosts
+    of more than ``hot`` documents are broadcast. The result is the same."""
+    rows = Rows(docs)
+    thin = _counted(rows).select(rows["doc_id"].alias("doc_id"), rows["source"].alias("host"), F.col("_mask").alias("failed"), "_fail", "_near")
+    df = _joined(thin, F.col("host"), _hosts(docs), most_hosts, hot)
+    return df.select("doc_id", "host", "failed", F.col("_fail").alias("n_failed"), F.col("_near").alias("n_near"), F.round("_rate", 6).alias("host_rate"), F.col("_verdict").alias("host_verdict"), F.expr(_REJECTED).alias("rejected"))
+
+
+def keep_good(docs: DataFrame, most_hosts: int = 500_000, hot: int = 1_000_000) -> DataFrame:
+    """docs without those that quality_verdicts() rejects; all columns, and the
+    same defined results. Beyond ``most_hosts`` hosts only documents whose
+    verdict depends on their host are shuffled: those with one failure, or with none and two near ones."""
+    rows, hosts = Rows(docs), _hosts(docs)
+    df = _counted(rows)
+    if hosts.count() <= most_hosts:
+        return rows.give(_joined(df, rows["source"], hosts, most_hosts, hot).where(f"not ({_REJECTED})"))
+    sure = df.where(f"_fail = 0 and not ({_OPEN})").select(*rows.own)
+    asked = _joined(df.where(_OPEN), rows["source"], hosts, most_hosts, hot).where(f"not ({_REJECTED})").select(*rows.own)
+    return rows.give(sure.union(asked))
 
 
 def sql(documents: str = "documents") -> str:
