@@ -9,10 +9,13 @@ of the window, reads the counts back, and repeats the pattern as often as the
 multiset allows. One pattern thus stands for any number of windows, and there
 are about as many patterns as lengths.
 
-A document's place follows from its rank among those of its length: ranks are
+A remainder's place follows from its rank among those of its length: ranks are
 counted in buckets by a hash of doc_id (so that a common length isn't one
 task's work), and a sorted list of rank ranges gives pattern, window and
-offset. Only ids and lengths are shuffled, never a text.
+offset. Windows that a document fills by itself aren't ranked: each document
+has a run of numbers, by sums of how many windows it fills. Rows of one id and
+length are one row with their number. Only ids and lengths are shuffled, never
+a text, and what reaches the driver is a row a length.
 """
 
 from __future__ import annotations
@@ -25,10 +28,10 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Rows, reliable
-from .mixing import bucket
+from .mixing import _each, bucket
 
 CAPACITY = 2048
-BUCKETS = 64
+BUCKETS = 4096
 
 
 def fullest(counts: dict[int, int], room: int) -> dict[int, int]:
@@ -96,37 +99,44 @@ def packed(docs: DataFrame, capacity: int = CAPACITY, buckets: int = BUCKETS) ->
     Tokens are runs of characters other than white space; ``start`` and
     ``offset`` count them from the start of the document and of the window.
     Texts that are null or have no token take no window and aren't in the
-    result. A null doc_id is carried along, and repeated rows are packed one by
+    result; a very long text fills windows by itself, but for its last piece. A
+    null doc_id is carried along, and repeated rows are packed one by
     one. Documents of equal length go by bucket, then id. Other columns aren't
     looked at; an empty table gives an empty result."""
     rows = Rows(docs)
-    sized = rows.df.select(rows["doc_id"].alias("doc_id"), F.coalesce(F.regexp_count(rows["text"], F.lit(r"\S+")), F.lit(0)).cast("long").alias("tokens")).where("tokens > 0")
-    sized = reliable(sized.withColumn("bucket", bucket(F.col("doc_id"), buckets)))
-    pieces = sized.select("doc_id", "bucket", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("tokens") - 1) / capacity))).alias("piece"), "tokens")
-    pieces = pieces.withColumn("start", F.col("piece") * capacity).withColumn("n_tokens", F.least(F.lit(capacity).cast("long"), F.col("tokens") - F.col("start")))
-    held: dict[int, list[tuple[int, int]]] = {}
-    for length, b, n in pieces.groupBy("n_tokens", "bucket").count().collect():  # capacity * buckets rows at most
-        held.setdefault(length, []).append((b, n))
-    before = np.zeros((capacity + 1, buckets), np.int64)
-    counts = {}
-    for length, by_bucket in held.items():
-        for b, n in by_bucket:
-            before[length, b] = n
-        counts[length] = int(before[length].sum())
-    before = np.cumsum(before, axis=1) - before
-    plan = docs.sparkSession.sparkContext.broadcast((before, _ranges(patterns(counts, capacity))))
-    order = Window.partitionBy("n_tokens", "bucket").orderBy("doc_id", "piece")
-    ranked = pieces.select("doc_id", "piece", "start", "n_tokens", "bucket", (F.row_number().over(order).cast("long") - 1).alias("rank"))
+    tokens = F.coalesce(F.regexp_count(rows["text"], F.lit(r"\S+")), F.lit(0)).cast("long")
+    sized = rows.df.select(rows["doc_id"].alias("doc_id"), tokens.alias("tokens"), bucket(rows["doc_id"], rows["text"], buckets).alias("bucket")).where("tokens > 0")
+    sized = reliable(sized.groupBy("bucket", "doc_id", "tokens").agg(F.count(F.lit(1)).alias("n")))
+    sized = sized.select("*", F.expr(f"tokens div {capacity}").alias("whole"), F.expr(f"tokens % {capacity}").alias("rest"))
+    before = Window.rowsBetween(Window.unboundedPreceding, -1)
+    until = lambda what, *by: F.coalesce(F.sum(what).over(before.partitionBy(*by[:-1]).orderBy(*by[-1])), F.lit(0))
+    held = reliable(sized.where("rest > 0").groupBy("rest", "bucket").agg(F.sum("n").alias("n")))
+    counts = {rest: n for rest, n in held.groupBy("rest").agg(F.sum("n")).collect()}  # a row a length: fewer than capacity
+    found = patterns(counts, capacity)
+    plan = docs.sparkSession.sparkContext.broadcast(_ranges(found))
+    # a row a bucket
+    wholes = sized.groupBy("bucket").agg(F.sum(F.col("n") * F.col("whole")).alias("n"))
+    wholes = wholes.select(F.col("bucket").alias("b"), (until("n", ["bucket"]) + sum(times for _, times in found)).alias("window"))
+    ranks = held.select(F.col("rest").alias("r"), F.col("bucket").alias("b"), until("n", "rest", ["bucket"]).alias("first"))
+    order = ["doc_id", "tokens"]
+    placed = sized.select("*", until(F.col("n") * F.col("whole"), "bucket", order).alias("window_in"), until("n", "bucket", "rest", order).alias("rank_in"))
+    placed = placed.join(F.broadcast(wholes), F.col("bucket") == wholes["b"]).join(ranks, (F.col("bucket") == ranks["b"]) & (F.col("rest") == F.col("r")), "left")
+    placed = placed.select("doc_id", "tokens", "whole", F.col("n").alias("_copies"), (F.col("window") + F.col("window_in")).alias("window"), (F.coalesce("first", F.lit(0)) + F.col("rank_in")).alias("rank"))
+    each = _each(placed).select(F.col("doc_id").cast("long").alias("doc_id"), "tokens", (F.col("window") + F.col("_at") * F.col("whole")).alias("window"), (F.col("rank") + F.col("_at")).alias("rank"), F.explode(F.expr(f"sequence(0L, (tokens - 1) div {capacity})")).alias("piece"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        before, ranges = plan.value
+        ranges = plan.value
         for batch in batches:
-            length, b, rank = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("n_tokens", "bucket", "rank"))
-            rank = rank + before[length, b]
-            at = np.searchsorted(ranges["key"], (length << 40) + rank, side="right") - 1 if len(rank) else np.zeros(0, np.int64)
-            turn = rank - ranges["rank"][at]
-            window = ranges["window"][at] + turn // ranges["n"][at]
-            offset = ranges["offset"][at] + turn % ranges["n"][at] * length
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("doc_id", "piece", "start", "n_tokens")), pa.array(window, pa.int64()), pa.array(offset, pa.int64())], ["doc_id", "piece", "start", "n_tokens", "window", "offset"])
-
-    return ranked.withColumn("doc_id", F.col("doc_id").cast("long")).mapInArrow(place, "doc_id long, piece long, start long, n_tokens long, window long, offset long")
+            tokens, window, rank, piece = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("tokens", "window", "rank", "piece"))
+            start, offset, window = piece * capacity, np.zeros(len(piece), np.int64), window + piece
+            length = np.minimum(tokens - start, capacity)
+            rest = np.flatnonzero(length < capacity)
+            if len(rest):
+                rank, size = rank[rest], length[rest]
+                at = np.searchsorted(ranges["key"], (size << 40) + rank, side="right") - 1
+                turn = rank - ranges["rank"][at]
+                window[rest] = ranges["window"][at] + turn // ranges["n"][at]
+                offset[rest] = ranges["offset"][at] + turn % ranges["n"][at] * size
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("piece"), *(pa.array(x, pa.int64()) for x in (start, length, window, offset))], ["doc_id", "piece", "start", "n_tokens", "window", "offset"])
+
+    return each.mapInArrow(place, "doc_id long, piece long, start long, n_tokens long, window long, offset long")
