@@ -215,6 +215,18 @@ def test_every_license_of_a_document_is_found(spark):
         assert [x for _, x in found] == own and len({x for x, _ in found}) == len(own)
 
 
+def test_licenses_of_awkward_rows(spark):
+    """Repeated rows, rows without an id, very long texts; and a paraphrase
+    that names no licence isn't one, whatever else the text holds."""
+    rng = random.Random(19)
+    mit, apache = licenses.TEMPLATES["MIT"], licenses.TEMPLATES["Apache-2.0-notice"]
+    long = f"{prose(rng, 60_000)}\n{mit}\n{prose(rng, 60_000)}\n{apache}"
+    rows = [(1, mit), (1, mit), (None, apache), (2, long), (None, None), (3, ""), (4, "Released under the MIT terms."), (5, "Released under the MIT terms. A licensed driver.")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").select("*", F.lit("x").alias("license"), F.lit(1).alias("TEXT"))
+    got = Counter((r.doc_id, r.line, r.license) for r in licenses.licenses(df).collect())
+    assert got == Counter({(1, 0, "MIT"): 2, (None, 0, "Apache-2.0-notice"): 1, (2, 1, "MIT"): 1, (2, 4 + mit.count("\n") - 1, "Apache-2.0-notice"): 1})
+
+
 # --- 2 HTML -----------------------------------------------------------------
 
 
@@ -254,6 +266,39 @@ def test_html_extraction(spark):
     assert html_text.extracted(df.limit(0)).count() == 0
 
 
+def page_brute(parts: list[tuple[str, bool, str]]) -> str:
+    """The text of a page whose blocks are (text, is all of it a link?, tag)."""
+    labels = []
+    for text, link, _ in parts:
+        words_ = text.lower().split()
+        share = sum(re.sub(r"^\W+|\W+$", "", w) in html_text.STOP_WORDS for w in words_) / len(words_)
+        if link or "copyright" in text.lower():
+            labels.append("bad")
+        elif len(text) < 70:
+            labels.append("short")
+        elif share < 0.15:
+            labels.append("bad")
+        else:
+            labels.append("good" if share >= 0.25 and len(text) >= 200 else "near")
+    return "\n".join(text for (text, *_), x in zip(parts, nearest_labels(labels)) if x == "good")
+
+
+def test_whole_extraction_of_made_up_pages(spark):
+    rng = random.Random(20)
+    pages, want, kinds = [], {}, Counter()
+    for i in range(300):
+        parts = []
+        for _ in range(rng.randrange(0, 12)):
+            stop = rng.choice([0, 0.1, 0.2, 0.3, 0.6])
+            text = " ".join(rng.choice(["the", "of", "und", "que", "with"]) if rng.random() < stop else word(rng) for _ in range(rng.choice([2, 8, 15, 40, 90])))
+            parts.append((text + rng.choice(["", ".", "!", " copyright 2020"]), rng.random() < 0.2, rng.choice(["p", "div", "li", "h2", "td", "blockquote"])))
+        body = "".join(f"<{tag} class='a>b'>{'<a href=x>' if link else '<b>' * (k % 2)}{text}{'</a>' if link else '</b>' * (k % 2)}</{tag}>{rng.choice(['', '<!-- <p>the of and</p> -->', '<script>var a = 1 < 2;</script>', chr(10)])}" for k, (text, link, tag) in enumerate(parts))
+        pages.append((i, f"http://x/{i}", f"<html><head><title>t</title></head><body>{body}</body></html>"))
+        want[i] = (page_brute(parts), len(parts))
+    got = html_text.extracted(spark.createDataFrame(pages, "page_id long, url string, html string")).collect()
+    assert {r.page_id: (r.text, r.n_blocks) for r in got} == want and sum(bool(x) for x, _ in want.values()) > 100
+
+
 def test_unclosed_elements_do_not_swallow_the_page():
     main = "The story of the house is that it was on the hill and that all of us were in it for a year. " * 3
     want = " ".join(main.split())
@@ -273,38 +318,87 @@ def test_unclosed_elements_do_not_swallow_the_page():
 # --- 3 URLs -----------------------------------------------------------------
 
 
+def canonical(url: str) -> tuple[str, str, str]:
+    """host, path and query, character by character."""
+    m = re.match(url_filter.PARTS, url.strip(" "))
+    if not m:
+        return "", "", ""
+    host = ".".join(x for x in re.sub(r"\.+", ".", m[1].lower()).split(".")).strip(".")
+    path, at = "", 0
+    raw = m[2] or "/"
+    while at < len(raw):
+        code = raw[at + 1 : at + 3]
+        if raw[at] == "%" and re.fullmatch("[0-9A-Fa-f]{2}", code) and (chr(int(code, 16)).isascii() and chr(int(code, 16)).isalnum() or chr(int(code, 16)) in "-._~"):
+            path += chr(int(code, 16))
+            at += 3
+        else:
+            path += raw[at]
+            at += 1
+    kept: list[str] = []
+    parts = path.split("/")
+    for x in parts:
+        if x == "..":
+            kept = kept[:-1]
+        elif x not in ("", "."):
+            kept.append(x)
+    folder = parts[-1] in ("", ".", "..")
+    return host, "/" + "/".join(kept) + ("/" if folder and kept else ""), m[3] or ""
+
+
 def url_brute(url: str | None, rules) -> tuple:
-    m = re.match(url_filter.PARTS, url) if url else None
-    host = m[1].lower().strip(".") if m else ""
+    host, path, query = canonical(url) if url else ("", "", "")
+    address = re.match(url_filter.ADDRESS, host)
     best = None
     for rule, expression, action in rules:
         if not host or expression is None:
             continue
         h, _, p = expression.partition("/")
-        path = m[2] or "/"
-        ok_host = host == h or host.endswith("." + h) and "." in h
-        ok_path = "/" + p in (path, path + (m[3] or "")) or ("/" + p).endswith("/") and path.startswith("/" + p)
+        ok_host = host == h or not address and host.endswith("." + h) and "." in h
+        ok_path = "/" + p in (path, path + query) or ("/" + p).endswith("/") and path.startswith("/" + p)
         if ok_host and ok_path:
             rank = (-h.count("."), -len(expression) + len(h), action, rule)
             best = min(best, (rank, rule, expression, action)) if best else (rank, rule, expression, action)
     return (best[3], best[1], best[2]) if best else ("none", None, None)
 
 
+URL_RULES = [(1, "example.org/", "block"), (2, "b.example.org/p/", "allow"), (3, "b.example.org/p/", "block"), (4, "a.b.example.org/p/q.html", "block"), (5, "example.org/p?a=1", "allow"), (6, "org/", "block"), (7, "x.example.org/p", "block"), (8, None, "block"), (9, "2.3/", "block"), (10, "10.1.2.3/a/", "block"), (11, "[::1]/", "block"), (12, "other.net/p/q/r/", "block"), (13, "other.net/p/", "allow")]
+
+
 def test_url_verdicts(spark):
     rng = random.Random(3)
-    hosts = ["a.b.example.org", "b.example.org", "EXAMPLE.org", "org", "x.example.org.", "other.net"]
-    paths = ["", "/", "/p", "/p/", "/p/q.html", "/p/q/r", "//p", "/P"]
-    urls = [f"{s}{u}{rng.choice(hosts)}{rng.choice(['', ':80'])}{rng.choice(paths)}{rng.choice(['', '?a=1', '#f'])}" for s in ("http://", "https://", "//") for u in ("", "me:pw@") for _ in range(40)]
-    urls += [None, "", "no url", "http://", "mailto:x@y.z", "http:///p", urls[0]]
-    rules = [(1, "example.org/", "block"), (2, "b.example.org/p/", "allow"), (3, "b.example.org/p/", "block"), (4, "a.b.example.org/p/q.html", "block"), (5, "example.org/p?a=1", "allow"), (6, "org/", "block"), (7, "x.example.org/p", "block"), (8, None, "block"), (9, "example.org/", "block")]
-    df = spark.createDataFrame([(i if i % 7 else None, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule_id", F.lit(0)).withColumn("digest", F.lit(0))
-    got = url_filter.url_verdicts(df, rules).collect()
-    assert Counter((r.page_id, r.url, r.verdict, r.rule_id, r.expression) for r in got) == Counter((i if i % 7 else None, u, *url_brute(u, rules)) for i, u in enumerate(urls))
-    assert url_filter.url_verdicts(df.limit(0), rules).count() == 0
+    hosts = ["a.b.example.org", "b.example.org", "EXAMPLE.org", "org", "x.example.org.", "other.net", "10.1.2.3", "[::1]", "..b..example.org", "1.2.3"]
+    paths = ["", "/", "/p", "/p/", "/p/q.html", "/p/q/r", "//p", "/P", "/p/../p/./q/r/", "/..", "/%70/x", "/p%2Fq", "/%7ex/../p/", "/p%", "/p%2", "/a/b", "/x/..", "/x/%2e%2E/p/q//r/s"]
+    urls = [f"{s}{u}{rng.choice(hosts)}{rng.choice(['', ':80'])}{rng.choice(paths)}{rng.choice(['', '?a=1', '#f'])}" for s in ("http://", "https://", "//") for u in ("", "me:pw@") for _ in range(70)]
+    urls += [None, "", "no url", "http://", "mailto:x@y.z", "http:///p", urls[0], " http://b.example.org/p/ ", "http://user@[::1]:8080/x"]
+    long = [f"http://{'a.' * 30_000}b.example.org/{'p/' * 50_000}x", f"http://example.org/{'x/' * 3000}{'../' * 3000}p?a=1", f"http://other.net/p/q/r/{'%70' * 20_000}"]
+    urls += long
+    df = spark.createDataFrame([(i if i % 7 else None, u) for i, u in enumerate(urls)], "page_id long, url string").withColumn("rule_id", F.lit(0)).withColumn("digest", F.lit(0)).withColumn("host", F.lit(0))
+    want = Counter((i if i % 7 else None, u, *url_brute(u, URL_RULES)) for i, u in enumerate(urls))
+    assert {v for _, u, v, *_ in want if u in long} == {"allow", "block"} and len({r for *_, r, _ in want}) > 8
+    for limits in ({}, {"most_urls": 0}, {"most_urls": 5, "hot": 2}, {"most_urls": 30, "hot": 2}):
+        got = url_filter.url_verdicts(df, URL_RULES, **limits).collect()
+        assert Counter((r.page_id, r.url, r.verdict, r.rule_id, r.expression) for r in got) == want
+    assert url_filter.url_verdicts(df.limit(0), URL_RULES).count() == 0
     none = spark.createDataFrame([], "rule_id long, expression string, action string")
     assert url_filter.url_verdicts(df, none).where("verdict = 'none'").count() == len(urls)
 
 
+def test_addresses_expand_to_themselves():
+    assert url_brute("http://10.1.2.3/a/b", URL_RULES) == ("block", 10, "10.1.2.3/a/")
+    assert url_brute("http://1.2.3/", URL_RULES) == ("block", 9, "2.3/") and url_brute("http://9.1.2.3/", URL_RULES)[0] == "none"
+
+
+def test_url_sql_agrees_on_awkward_urls(spark, tmp_path):
+    import duckdb
+
+    urls = [f"http://{h}{p}" for h in ("m.free-bets.example.com", "X.CHEAP-PILLS..example.com.", "10.1.2.3", "[::1]:80", "blog.ththon.example.net") for p in ("", "/de/x", "/de/../fr/", "/%64e/x", "//de//y", "/fr/65.html", "/fr/./65.html?q", "/d%", "/..", "/a/..")]
+    df = spark.createDataFrame(list(enumerate([*urls, None, "", "no"])), "page_id long, url string")
+    pages = df.toPandas()  # noqa: F841, duckdb reads it by name
+    want = duckdb.connect().execute(url_filter.SQL).fetchall()
+    got = url_filter.url_verdicts(df).collect()
+    assert Counter((r.page_id, r.url, r.verdict, r.rule_id, r.expression) for r in got) == Counter(want) and len({x[3] for x in want}) > 5
+
+
 # --- 4 media ----------------------------------------------------------------
 
 
@@ -425,8 +519,14 @@ def test_quality_verdicts(spark):
     assert Counter((r.doc_id, r.host, r.failed, r.n_near, round(r.host_rate, 5), r.host_verdict, r.rejected) for r in got) == want
     assert {"bad", "mixed"} <= set(verdict.values())
     # the shuffled join gives the same
-    again = quality.quality_verdicts(spark.createDataFrame(rows, DOCS), most_hosts=0)
-    assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
+    df = spark.createDataFrame(rows, DOCS)
+    good = Counter(tuple(r) for r in quality.keep_good(df).collect())
+    left = Counter(r.doc_id for r in got if not r.rejected)
+    assert Counter(r[0] for r in good.elements()) == left
+    for limits in ({"most_hosts": 0}, {"most_hosts": 1, "hot": 10}, {"most_hosts": 6, "hot": 40}):
+        again = quality.quality_verdicts(df, **limits)
+        assert Counter(map(tuple, again.collect())) == Counter(map(tuple, got))
+        assert Counter(tuple(r) for r in quality.keep_good(df, **limits).collect()) == good
 
 
 # --- 6 toxicity -------------------------------------------------------------
@@ -633,6 +733,9 @@ def test_sharded(spark, tmp_path):
     sharding.sharded(df, path, slots=64, shards=3)
     assert kept.versions() == [*versions, versions[-1] + 1] and kept.read(1) == first and max(kept.read()) == 2
     assert sharding.sharded(empty(spark), str(tmp_path / "none")).count() == 0
+    # a version that was begun and not committed is left alone
+    (tmp_path / "map" / f"version={versions[-1] + 2}").mkdir()
+    assert kept.write(first) == versions[-1] + 3 and kept.read() == first and kept.versions()[-2:] == [versions[-1] + 1, versions[-1] + 3]
 
 
 # --- 8 packing --------------------------------------------------------------
@@ -668,6 +771,8 @@ def test_patterns_use_up_the_multiset():
 def test_packed(spark):
     rng = random.Random(10)
     rows = awkward_rows() + [(i, prose(rng, rng.randrange(1, 300)), "en", "a", 1) for i in range(100, 400)]
+    # a third of the rows are one row, and as many have one length
+    rows += [(77, prose(rng, 31), "en", "a", 1)] * 200 + [(None, prose(rng, 300), "en", "a", 1)] * 30 + [(i, prose(rng, 128 * (i % 4 + 1)), "en", "a", 1) for i in range(1000, 1100)]
     df = spark.createDataFrame(rows, DOCS).withColumn("window", F.lit(0)).withColumn("bucket", F.lit(0))
     got = packing.packed(df, capacity=128, buckets=5).collect()
     tokens = Counter()
@@ -712,11 +817,48 @@ def test_mixing_follows_weights(spark):
         each = Counter(r.doc_id for r in got if r.source == source and r.doc_id not in (None, 1))
         assert all(int(per) <= n <= int(per) + 1 for n in each.values()) and all(n == 1 for n in copies.values())
     full = mixing.mix(df, weights, budget)
-    assert Counter(r.source for r in full.collect()) == emitted
-    assert Counter(map(tuple, mixing.mixture(df, weights, budget, most_rows=0).collect())) == Counter(map(tuple, got))
+    assert full.columns == df.columns and full.dtypes == df.dtypes
+    assert Counter((r[0], r[3]) for r in full.collect()) == Counter((r.doc_id, r.source) for r in got)
     assert mixing.mixture(df, {}).count() == 0
 
 
+def mixture_brute(rows: list[tuple], weights: dict, budget: int, buckets: int) -> Counter:
+    """(doc_id, source, copy) by one running sum a source."""
+    md5 = lambda x: hashlib.md5(x.encode()).hexdigest()
+    number = lambda x: int(md5(x)[:7], 16)
+    own = defaultdict(list)
+    for doc_id, text, _, source, *_ in rows:
+        key = str(doc_id) if doc_id is not None else text or ""
+        own[source].append((number(key) % buckets, doc_id is not None, doc_id or 0, md5(text or ""), doc_id, len(text or "")))
+    size = {s: sum(x[-1] for x in held) for s, held in own.items()}
+    weight = {s: round(weights.get(s, 0) * 1_000_000) * (size[s] > 0) for s in own}
+    out: Counter = Counter()
+    for s, held in own.items():
+        step = int(weight[s] / sum(weight.values()) * budget / size[s] * mixing.UNIT) if weight[s] else 0
+        at = number(f"7:{s or ''}") % mixing.UNIT
+        for *_, doc_id, _ in sorted(held, key=lambda x: x[:4]):
+            copies = (at + step) // mixing.UNIT - at // mixing.UNIT
+            at += step
+            out.update((doc_id, s, k + 1) for k in range(copies))
+    return out
+
+
+def test_mixing_of_repeated_rows_and_a_hot_source(spark):
+    """A third of all rows are one row, most are of one source."""
+    rng = random.Random(18)
+    rows = [(i, prose(rng, rng.randrange(1, 40)), "en", rng.choice("aaaaaaab"), 0) for i in range(300)]
+    rows += [(7, rows[7][1], "de", rows[7][3], 1)] * 3 + [rows[9]] * 2 + [(None, None, None, "a", None)] * 200 + [(None, f"text {i % 5}", "en", None, i) for i in range(20)] + awkward_rows()
+    df = spark.createDataFrame(rows, DOCS)
+    for weights, budget in (({"a": 1.0, "b": 3.0, "c": 0.1}, 90_000), ({"a": 1.0, "b": 1.0}, 4_000)):
+        want = mixture_brute(rows, weights, budget, 8)
+        assert Counter(map(tuple, mixing.mixture(df, weights, budget, buckets=8).collect())) == want
+        full = Counter(tuple(r) for r in mixing.mix(df, weights, budget, buckets=8).collect())
+        assert Counter((r[0], r[3]) for r in full.elements()) == Counter((d, s) for d, s, _ in want.elements())
+        assert set(full) <= set(rows)
+    few = spark.createDataFrame([(1, "k", 3, 1, 25), (2, "k", 1, 1, 3)], "_id long, _source string, _n long, _step long, _copies long")
+    assert Counter(r["_id"] for r in mixing._each(few, 10).collect()) == Counter({1: 25, 2: 3})
+
+
 # --- 10 near-dedup ----------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 
@@ -34,11 +36,18 @@ class Rows:
 
 
 def _checkpoint_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; only where that is unset (a
-    local session, as in tests) a temporary folder."""
+    """The session's ``spark.checkpoint.dir``. Only in a local session (as in
+    tests) may it be unset; it has a temporary folder then, which goes with
+    the process. A cluster's executors can't read one of the driver's."""
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        at = context.getConf().get("spark.checkpoint.dir")
+        if not at:
+            if not context.master.startswith("local"):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+            at = tempfile.mkdtemp(prefix="checkpoint-")
+            atexit.register(shutil.rmtree, at, ignore_errors=True)
+        context.setCheckpointDir(at)
     return context._jsc.sc().getCheckpointDir().get()
 
 

@@ -203,7 +203,7 @@ def extracted(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """page_id, url, text, n_blocks and n_good of every row of pages.
 
     A null page has a null text and no blocks; an empty one, or one without
-    text, an empty text. Null ids and URLs are carried along, repeated rows
+    text, an empty text; a very long one is parsed whole. Null ids and URLs are carried along, repeated rows
     are extracted one by one. Other columns aren't looked at; an empty table
     gives an empty result."""
     rows = Rows(pages)

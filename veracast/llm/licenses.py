@@ -10,8 +10,10 @@ agree. Of confirmed templates that overlap, the reduction in their
 own spans decides, and only that: it never excludes a template, however long
 the text round it.
 
-Which documents reach Python is decided by substring tests in the JVM. Every
-template must hold one of ANCHORS, so a text without any is never a match.
+Wording that names neither a licence nor a copyright, a warranty, a permission
+or the like is no notice: every template holds one of ANCHORS, and so must a
+span that it is confirmed for. Which documents reach Python can thus be decided
+by substring tests in the JVM.
 Within a document, a candidate block is a run of words round anchors that
 reaches as far before and after each of them as the longest template could, so
 it doesn't matter how lines are wrapped. A template is aligned only where it
@@ -189,6 +191,8 @@ class Scanner:
         lacking, inserted = len(own) - same, end - start - same
         if lacking + inserted > tolerance * len(own):
             return None
+        if not _ANCHOR.search(" ".join(part[start:end])):
+            return None
         there, want = deciding(part[start:end]), self.deciding[name]
         if not want <= there or (there - want) & QUALIFIERS or any(w[0].isdigit() for w in there - want):
             return None
@@ -267,7 +271,8 @@ def licenses(docs: DataFrame, templates: dict[str, str] = TEMPLATES, tolerance:
     of its deciding ones. ``line`` is the
     number, from 0, of the line on which that wording begins.
 
-    Null and empty texts have no blocks. A null doc_id is carried along,
+    Null and empty texts have no blocks; a very long text is looked at whole,
+    and only its blocks are aligned. A null doc_id is carried along,
     repeated rows are scanned one by one, ties between templates go to the
     longer one and then to its name. Other columns aren't looked at; an empty
     table gives an empty result."""

@@ -240,13 +240,14 @@ def _split(nodes: DataFrame, big: DataFrame, threshold: float, many: int, most:
 
     def descend(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            got: dict[str, list] = {"key": [], "id": [], "sketch": []}
-            for key, id_, sketch in zip(*(batch.column(c).to_pylist() for c in got)):
-                for c in _chosen(key, many):
-                    step = int(mix(np.array([((key & ((1 << 64) - 1)) ^ (int(c) << 8) ^ int(sketch[c]))], np.uint64))[0])
-                    for name, x in zip(got, (step - (1 << 64) if step >> 63 else step, id_, sketch)):
-                        got[name].append(x)
-            yield pa.RecordBatch.from_arrays([pa.array(got["key"], pa.int64()), pa.array(got["id"], pa.int64()), pa.array(got["sketch"], pa.binary())], ["key", "id", "sketch"])
+            if not batch.num_rows:
+                continue
+            key, ids, sketch = batch.column("key").to_numpy(), batch.column("id").to_numpy(), _sketches(batch.column("sketch"))
+            for one in np.unique(key):  # as many as there are nodes beyond a task's bound
+                at = np.flatnonzero(key == one)
+                for c in _chosen(int(one), many):
+                    step = mix(one.astype(np.uint64) ^ (np.uint64(int(c)) << np.uint64(8)) ^ sketch[at, c].astype(np.uint64))
+                    yield pa.RecordBatch.from_arrays([pa.array(step.view(np.int64)), pa.array(ids[at]), batch.column("sketch").take(pa.array(at))], ["key", "id", "sketch"])
 
     def cross(left: pa.Table, right: pa.Table) -> pa.Table:
         found: list[tuple[np.ndarray, np.ndarray]] = []
@@ -305,7 +306,7 @@ def duplicates(docs: DataFrame, threshold: float = 0.5, k: int = 3, trees: int =
 
     Texts that are null, empty or without words, and rows with a null doc_id,
     are in no group. A text of fewer than k words is one shingle, so it matches
-    only its copies. Rows of one doc_id are one document; ties can't occur, as
+    only its copies; a very long text is sketched whole. Rows of one doc_id are one document; ties can't occur, as
     the least id is kept. Other columns aren't looked at. An empty table gives
     an empty result. Similarity is estimated from sketches and not confirmed on
     the shingles, so near the threshold pairs are missed, and some just under
@@ -360,7 +361,8 @@ def keep_one(docs: DataFrame, threshold: float = 0.5, k: int = 3, trees: int = 5
     """docs with one document of each group of duplicates(), all its columns.
 
     Of several rows with one doc_id that have words, the one of least text
-    hash stays. Rows without a doc_id or without words all stay."""
+    hash stays. Rows without a doc_id or without words all stay. Very long texts,
+    ties and other columns are as in duplicates(); an empty table stays empty."""
     gone = reliable(duplicates(docs, threshold, k, trees).select(F.col("doc_id").alias("_gone")))
     rows = Rows(docs)
     id_, text = rows["doc_id"].cast("long"), rows["text"]

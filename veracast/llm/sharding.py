@@ -84,15 +84,15 @@ class SlotMap:
     def __init__(self, spark: SparkSession, path: str, slots: int = SLOTS):
         self.spark, self.path, self.slots = spark, path.rstrip("/"), slots
 
-    def versions(self) -> list[int]:
+    def versions(self, begun: bool = False) -> list[int]:
+        """Those whose write has been committed, or also those that were begun."""
         hadoop = self.spark.sparkContext._jvm.org.apache.hadoop.fs
         at = hadoop.Path(self.path)
         fs = at.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
         if not fs.exists(at):
             return []
         names = [(s.getPath().getName(), s.getPath()) for s in fs.listStatus(at)]
-        # a version counts once its write has been committed
-        return sorted(int(n.removeprefix("version=")) for n, p in names if n.startswith("version=") and fs.exists(hadoop.Path(p, "_SUCCESS")))
+        return sorted(int(n.removeprefix("version=")) for n, p in names if n.startswith("version=") and (begun or fs.exists(hadoop.Path(p, "_SUCCESS"))))
 
     def read(self, version: int | None = None) -> list[int]:
         version = self.versions()[-1] if version is None else version
@@ -102,10 +102,11 @@ class SlotMap:
         return out
 
     def write(self, owner: Iterable[int]) -> int:
-        """Add a version, one above the last, and return it."""
-        version = max(self.versions(), default=0) + 1
+        """Add a version, one above the last that was begun, and return it. If
+        another writer has taken it by then, this one fails."""
+        version = max(self.versions(begun=True), default=0) + 1
         rows = self.spark.createDataFrame(list(enumerate(owner)), "slot int, shard int")
-        rows.coalesce(1).write.mode("overwrite").parquet(f"{self.path}/version={version}")
+        rows.coalesce(1).write.mode("errorifexists").parquet(f"{self.path}/version={version}")
         return version
 
     def rebalance(self, size: list[int], shards: int, slack: float = 0.02) -> int:
@@ -122,9 +123,9 @@ class SlotMap:
 def sharded(docs: DataFrame, path: str, slots: int = SLOTS, shards: int = SHARDS, slack: float = 0.02) -> DataFrame:
     """doc_id, slot, shard, map_version and n_bytes of every row of docs, by the map at path.
 
-    A null text has 0 bytes; a row without a doc_id is placed by its text, and
+    A null text has 0 bytes, a very long one as many as it has; a row without a doc_id is placed by its text, and
     one without either goes to the slot of the empty key. Repeated rows have
-    one slot. Other columns aren't looked at. An empty table has an empty
+    one slot; of slots and shards that are equally full the lower goes first. Other columns aren't looked at. An empty table has an empty
     result but writes the first version."""
     kept = SlotMap(docs.sparkSession, path, slots)
     version = kept.rebalance(bytes_by_slot(docs, slots), shards, slack)
