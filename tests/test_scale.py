@@ -154,6 +154,23 @@ def test_densities_against_loops(spark):
     assert one["p"].sum() == 1 and one["p"].max() == 1 and abs(one["at"].to_numpy()[one["p"].to_numpy().argmax()] - 2) < 0.05
 
 
+def test_alignments_against_the_table():
+    from veracast.operators import timeseries
+
+    rng = np.random.default_rng(15)
+    for n, m in ((1, 1), (1, 7), (7, 1), (9, 9), (12, 5), (5, 12)):
+        a, b = rng.normal(size=(4, n)), rng.normal(size=(4, m))
+        want = []
+        for x, y in zip(a, b):
+            cost = np.full((n + 1, m + 1), np.inf)
+            cost[0, 0] = 0
+            for i, j in itertools.product(range(1, n + 1), range(1, m + 1)):
+                cost[i, j] = abs(x[i - 1] - y[j - 1]) + min(cost[i - 1, j], cost[i, j - 1], cost[i - 1, j - 1])
+            want.append(cost[n, m])
+        assert np.allclose(timeseries._warped_all(a, b), want) and timeseries.warped(a[0], b[0]) == pytest.approx(want[0])
+    assert math.isnan(timeseries.warped(np.zeros(0), np.ones(3)))
+
+
 def test_formats_of_samples():
     x = np.array([0, 1, -1, 2047, -2048, 77, -300])
     two = b""

@@ -58,8 +58,19 @@ def _against(reference: DataFrame, target: DataFrame, pairing: str, of: Callable
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            v, w = (batch.column(c) for c in ("v", "w"))
-            got = [of(v[i].values.to_numpy(zero_copy_only=False), w[i].values.to_numpy(zero_copy_only=False)) for i in range(batch.num_rows)]
+            v, w = ([x.values.to_numpy(zero_copy_only=False) for x in batch.column(c)] for c in ("v", "w"))
+            if many := getattr(of, "many", None):  # pairs of the same lengths together
+                got: list = [None] * len(v)
+                alike: dict[tuple[int, int], list[int]] = {}
+                for i, (x, y) in enumerate(zip(v, w)):
+                    alike.setdefault((len(x), len(y)), []).append(i)
+                for at in alike.values():
+                    for k in range(0, len(at), 64):
+                        own = at[k : k + 64]
+                        for i, x in zip(own, many(np.stack([v[i] for i in own]), np.stack([w[i] for i in own]))):
+                            got[i] = float(x)
+            else:
+                got = [of(x, y) for x, y in zip(v, w)]
             yield pa.RecordBatch.from_arrays([batch.column("signal"), batch.column("ref"), pa.array(got, pa.float64())], ["signal", "ref", "x"])
 
     kind = dict(target.dtypes)["signal"], dict(reference.dtypes)["signal"]
@@ -73,22 +84,31 @@ def _both_levels(each: DataFrame, name: str) -> DataFrame:
 
 
 def warped(a: np.ndarray, b: np.ndarray) -> float:
-    """Cost of the best monotone alignment of two series by absolute
-    difference, one anti-diagonal of the cost table at a time."""
-    n, m = len(a), len(b)
+    """Cost of the best monotone alignment of two series by absolute difference."""
+    return float(_warped_all(a[None], b[None])[0])
+
+
+def _warped_all(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """warped() of each row of a with that of b: one anti-diagonal of all cost
+    tables at a time, in three buffers that take turns."""
+    k, n, m = len(a), a.shape[1], b.shape[1]
     if not n or not m:
-        return float("nan")
-    before = two_before = np.full(n + 1, np.inf)  # indexed by row
-    two_before = two_before.copy()
-    two_before[0] = 0.0
+        return np.full(k, np.nan)
+    two_before, before, now = (np.full((k, n + 2), np.inf) for _ in range(3))  # indexed by row of the table
+    two_before[:, 0] = 0.0
+    back = b[:, ::-1]
     for d in range(2, n + m + 1):
         lo, hi = max(1, d - m), min(n, d - 1)
-        i = np.arange(lo, hi + 1)
-        now = np.full(n + 1, np.inf)
-        least = np.minimum(np.minimum(before[i - 1], before[i]), two_before[i - 1])
-        now[i] = np.abs(a[i - 1] - b[d - i - 1]) + least
-        two_before, before = before, now
-    return float(before[n])
+        out = now[:, lo : hi + 1]
+        np.minimum(before[:, lo - 1 : hi], before[:, lo : hi + 1], out=out)
+        np.minimum(out, two_before[:, lo - 1 : hi], out=out)
+        out += np.abs(a[:, lo - 1 : hi] - back[:, m - d + lo : m - d + hi + 1])
+        now[:, lo - 1] = now[:, hi + 1] = np.inf
+        two_before, before, now = before, now, two_before
+    return before[:, n].copy()
+
+
+warped.many = _warped_all  # type: ignore[attr-defined]
 
 
 def dtw(reference: DataFrame, target: DataFrame, pairing: str = "last") -> DataFrame:
