@@ -210,6 +210,8 @@ _COLUMNS = "id, reference_type, levels, metric_group, higher_is_better::boolean
 def folder(spark: SparkSession) -> str:
     """A new folder in the cluster's shared one; a temporary one in a local session without."""
     shared = spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not shared and not spark.sparkContext.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     return f"{shared}/{uuid.uuid4().hex}" if shared else tempfile.mkdtemp(prefix="veracast-")
 
 
