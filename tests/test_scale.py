@@ -120,6 +120,8 @@ def test_shared_context(spark):
 def test_positions_and_halves(spark):
     df = spark.range(0, 3001, 1, 7).select((F.col("id") * F.col("id")).alias("id"), F.col("id").alias("v"))
     assert all(r.v == r.pos for r in features.positions(df, 16).collect())
+    names = spark.createDataFrame([(f"k{i:03}", i) for i in range(300)], "id string, v long").repartition(5)
+    assert all(r.v == r.pos for r in features.positions(names, 9).collect()) and features.positions(names.limit(0)).count() == 0
     a, b = (set(r.id for r in x.collect()) for x in features.split_halves(df, 4))
     assert len(a) == len(b) == 1500 and not a & b and a != set(r.id for r in features.split_halves(df, 5)[0].collect())
     r = vectors(spark, np.random.default_rng(6).normal(size=(50, 2)))

@@ -42,12 +42,13 @@ def _part(block: Block, a: int, n: int) -> Block:
     return block[0][a : a + n], block[1][a : a + n], {c: x[a : a + n] for c, x in block[2].items()}
 
 
-def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE) -> DataFrame:
+def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE, like: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
     """The rows of run(left block, right block) for blocks of up to ``size``
-    and ``wide`` vectors that hold every pair of (id, v array<double>, ...) once."""
+    and ``wide`` vectors that hold every pair of (id, v array<double>, ...) once.
+    ``like``: frames that are as large, to measure in place of sides that take work to get."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     measure = lambda df: df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
-    (n, width), (m, _) = measure(left), measure(right)
+    (n, width), (m, _) = (measure(df) for df in like or (left, right))
     wanted = math.ceil(math.sqrt(4 * cores))
     down, across = (_rows(k, width or 1, wanted) for k in (n, m))
     own = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
@@ -89,9 +90,11 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     vectors, where these would cancel, is taken from the differences."""
     middle = (x.mean(axis=0) + y.mean(axis=0)) / 2 if len(x) and len(y) else 0.0
     x, y = x - middle, y - middle
-    length = np.einsum("ij,ij->i", x, x)[:, None] + np.einsum("ij,ij->i", y, y)[None, :]
-    d = length - 2 * (x @ y.T)
-    i, j = np.nonzero(~(d > 1e-6 * length))
+    xx, yy = np.einsum("ij,ij->i", x, x), np.einsum("ij,ij->i", y, y)
+    d = (-2 * x) @ y.T
+    d += xx[:, None]
+    d += yy[None, :]
+    i, j = np.nonzero(~(d > 1e-6 * (xx.max(initial=0) + yy.max(initial=0))))
     np.maximum(d, 0, out=d)
     step = max(1, (1 << 22) // max(1, x.shape[1]))
     for k in range(0, len(i), step):
