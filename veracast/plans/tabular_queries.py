@@ -165,6 +165,27 @@ _QUARTILES = f"""with q as (select quantile_cont(value, 0.25) as a, quantile_con
 _VIF2 = f"""with g as (select sum(l_quantity * l_quantity) as a, sum(l_quantity * l_discount) as b, sum(l_discount * l_discount) as c from lineitem), v as (select 1 / (1 - b * b / (a * c)) as v from g)
   {_row("l_quantity", "vif", "round(v, 6)")} from v union all {_row("l_discount", "vif", "round(v, 6)")} from v union all {_row(None, None, "(v > 5)::int")} from v"""
 
+
+
+def _determinant(rows_: list[int], columns: list[int]) -> str:
+    """Of the Gram matrix of sums g<i><j>, without a row and column or more, by cofactors."""
+    if not rows_:
+        return "1"
+    terms = (f"{'-' if k % 2 else '+'} g{min(rows_[0], c)}{max(rows_[0], c)} * ({_determinant(rows_[1:], columns[:k] + columns[k + 1 :])})" for k, c in enumerate(columns))
+    return " ".join(terms)
+
+
+def _vif(name: str, columns: list[str]) -> str:
+    """A column's factor is its square sum times the inverse Gram matrix's diagonal; columns are scaled by their means, which changes nothing."""
+    n = range(len(columns))
+    sums = ", ".join(f"sum({columns[i]} / m{i} * {columns[j]} / m{j}) / count(*) as g{i}{j}" for i in n for j in n if i <= j)
+    means = ", ".join(f"avg({c}) as m{i}" for i, c in enumerate(columns))
+    one = ", ".join(f"g{i}{i} * ({_determinant([k for k in n if k != i], [k for k in n if k != i])}) / ({_determinant(list(n), list(n))}) as v{i}" for i in n)
+    each = " union all ".join(_row(c, "vif", f"round(v{i}, 6)") + " from v" for i, c in enumerate(columns))
+    return f"""with m as (select {means} from {name}), g as (select {sums} from {name}, m), v as (select {one} from g)
+  {each} union all {_row(None, None, "(" + " + ".join(f"(v{i} > 5)::int" for i in n) + f") / {len(columns)}.0::double")} from v"""
+
+
 _UNIQUE = f"""{_row(None, None, "round(100.0::double * sum(case when c > 1 then c else 0 end) / sum(c), 6)")} from (select count(*) as c from lineitem group by l_linenumber, {", ".join(NUMBERS)})"""
 
 
@@ -194,7 +215,7 @@ QUERIES = {
     "tab_outliers": (lambda s, d: tabular.outliers(_lineitem(s, d), NUMBERS), _stats(" union all ".join(map(_outlier, NUMBERS)))),
     "tab_correlation": (lambda s, d: tabular.correlation(_lineitem(s, d), NUMBERS, 0.05), _stats(" union all ".join(map(_correlated, NUMBERS)))),
     "tab_dimcurse": (lambda s, d: tabular.dim_curse(_lineitem(s, d), NUMBERS), f"{_row(None, None, 'count(*) / 4.0::double')} from lineitem"),
-    "tab_vif": (lambda s, d: tabular.vif(_lineitem(s, d), NUMBERS), None),
+    "tab_vif": (lambda s, d: tabular.vif(_lineitem(s, d), NUMBERS), _vif("lineitem", NUMBERS)),
     "tab_vif2": (lambda s, d: tabular.vif(_lineitem(s, d), ["l_quantity", "l_discount"]), _VIF2),
     "tab_kanonymity": (lambda s, d: tabular.k_anonymity(table(s, d, "customer"), ["c_nationkey", "c_mktsegment"]), _k_anonymous("customer", "c_nationkey, c_mktsegment")),
     "tab_kanonymity_lineitem": (lambda s, d: tabular.k_anonymity(_lineitem(s, d), ["l_returnflag", "l_linestatus", "l_linenumber"]), _k_anonymous("lineitem", "l_returnflag, l_linestatus, l_linenumber")),
