@@ -190,7 +190,7 @@ def _kendall(df: DataFrame, columns: list[str], cells: int = 256) -> DataFrame:
         for j in range(i + 1, len(columns)):
             edges = [sorted(set(cuts[n] or [])) for n in (names[i], names[j])]
             both = x.where(F.nanvl(names[i], F.lit(None)).isNotNull() & F.nanvl(names[j], F.lit(None)).isNotNull()).groupBy(F.col(names[i]).alias("x"), F.col(names[j]).alias("y")).agg(F.count(F.lit(1)).alias("w"))
-            both = both.mapInArrow(_ranged(edges), "x double, y double, w long, a int, b int")
+            both = both.mapInArrow(_ranged(edges), "x double, y double, w long, a int, b int").persist()  # for the next few passes
             table = np.zeros((len(edges[0]) + 1, len(edges[1]) + 1), np.int64)
             for a, b, w in both.groupBy("a", "b").agg(F.sum("w")).collect():  # cells * cells rows at most
                 table[a, b] = w
@@ -198,6 +198,7 @@ def _kendall(df: DataFrame, columns: list[str], cells: int = 256) -> DataFrame:
             ends = F.explode(F.array(*(F.struct(F.lit(k).alias("side"), F.col(c).alias("at")) for k, c in enumerate("ab"))))
             near = both.select("*", ends.alias("e")).select("x", "y", "w", "a", "b", "e.side", "e.at").groupBy("side", "at").applyInArrow(_near, "s double").agg(F.sum("s")).first()[0] or 0
             ties = [both.groupBy(c).agg(F.sum("w").cast("decimal(38,0)").alias("w")).agg(F.sum(F.col("w") * F.col("w"))).first()[0] or 0 for c in "xy"]
+            both.unpersist()
             n = int(table.sum())
             free = [n * n - int(t) for t in ties]
             out[f"r_{i}_{j}"] = 2 * (far + near) / (float(free[0]) ** 0.5 * float(free[1]) ** 0.5) if all(free) else None
