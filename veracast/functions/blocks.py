@@ -42,19 +42,24 @@ def _part(block: Block, a: int, n: int) -> Block:
     return block[0][a : a + n], block[1][a : a + n], {c: x[a : a + n] for c, x in block[2].items()}
 
 
-def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE, like: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE, like: tuple[DataFrame, DataFrame] | None = None, half: bool = False) -> DataFrame:
     """The rows of run(left block, right block) for blocks of up to ``size``
     and ``wide`` vectors that hold every pair of (id, v array<double>, ...) once.
-    ``like``: frames that are as large, to measure in place of sides that take work to get."""
+    ``like``: frames that are as large, to measure in place of sides that take work to get.
+    ``half``: of two sides that are the same set only the cells on and above the
+    diagonal; run() gets a third argument, 2 for pairs that stand for their
+    mirror images too, or 1."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     measure = lambda df: df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     (n, width), (m, _) = (measure(df) for df in like or (left, right))
     wanted = math.ceil(math.sqrt(4 * cores))
     down, across = (_rows(k, width or 1, wanted) for k in (n, m))
+    if half:
+        down = across = max(1, -(-n * (width or 1) * 8 // MOST), min(math.ceil(math.sqrt(8 * cores)), -(-n // 64)))
     own = lambda k, salt: F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(k)).cast("int")
-    every = lambda k: F.explode(F.sequence(F.lit(0), F.lit(k - 1)))
-    a = left.withColumn("_i", own(down, 1)).withColumn("_j", every(across))
-    b = right.withColumn("_j", own(across, 2)).withColumn("_i", every(down))
+    first, last = (F.col("_i"), F.col("_j")) if half else (F.lit(0), F.lit(down - 1))
+    a = left.withColumn("_i", own(down, 1)).withColumn("_j", F.explode(F.sequence(first, F.lit(across - 1))))
+    b = right.withColumn("_j", own(across, 1 if half else 2)).withColumn("_i", F.explode(F.sequence(F.lit(0), last)))
     # columns of their own, as the sides may stem from one frame
     a, b = (df.select(*(F.col(c).alias(c) for c in df.columns)) for df in (a, b))
     # a number of partitions that is asked for isn't reduced for having few bytes
@@ -64,10 +69,11 @@ def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block],
     def cell(x: pa.Table, y: pa.Table) -> Iterator[pa.RecordBatch]:
         if not x.num_rows or not y.num_rows:
             return
+        more = ((1 if x.column("_i")[0].as_py() == y.column("_j")[0].as_py() else 2),) if half else ()
         x, y = _block(x), _block(y)
         for i in range(0, len(x[0]), size):
             for j in range(0, len(y[0]), wide):
-                out = run(_part(x, i, size), _part(y, j, wide))
+                out = run(_part(x, i, size), _part(y, j, wide), *more)
                 if out is not None and out.num_rows:
                     yield out
 
@@ -85,8 +91,8 @@ def _types(schema: str) -> list[pa.DataType]:
     return [kinds[f.split()[1]] for f in schema.split(",")]
 
 
-def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Euclidean, by products of matrices; a distance that is small beside its
+def squares(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Squared Euclidean distances, by products of matrices; one that is small beside its
     vectors, where these would cancel, is taken from the differences."""
     middle = (x.mean(axis=0) + y.mean(axis=0)) / 2 if len(x) and len(y) else 0.0
     x, y = x - middle, y - middle
@@ -100,6 +106,12 @@ def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
     for k in range(0, len(i), step):
         apart = x[i[k : k + step]] - y[j[k : k + step]]
         d[i[k : k + step], j[k : k + step]] = np.einsum("ij,ij->i", apart, apart)
+    return d
+
+
+def distances(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Euclidean; see squares()."""
+    d = squares(x, y)
     return np.sqrt(d, out=d)
 
 
