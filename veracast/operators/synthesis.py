@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from veracast.functions.blocks import Block, distances, least_of, over_pairs
 from veracast.functions.longform import present, rows, with_stats
+from veracast.functions.near import FEW, nearest
 from veracast.operators.tabular import correlations
 
 CELLS, GRID, EPS = 99, 300, 1e-10
@@ -266,6 +267,9 @@ def nearest_two(query: DataFrame, target: DataFrame, id_: str, columns: list[str
     rows other than itself, null where there are fewer. Rows with a null in a
     column are in neither table. Ids are integers."""
     side = lambda df: df.dropna(subset=columns).select(F.col(id_).cast("long").alias("id"), F.array(*(F.col(c).cast("double") for c in columns)).alias("v"))
+    finite = lambda df: not df.where(F.exists("v", lambda e: F.abs(e) == float("inf"))).take(1)
+    if len(columns) <= FEW and (not itself or query is target) and finite(side(target)) and (query is target or finite(side(query))):
+        return _nearest_two(side(query), side(target), len(columns), itself)
 
     def run(a: Block, b: Block) -> pa.RecordBatch:
         d = distances(a[1], b[1])
@@ -279,6 +283,16 @@ def nearest_two(query: DataFrame, target: DataFrame, id_: str, columns: list[str
     return two.select(F.col("id").alias("_q"), at(0).alias("d1"), at(1).alias("d2"))
 
 
+def _nearest_two(query: DataFrame, target: DataFrame, width: int, itself: bool) -> DataFrame:
+    """nearest_two() of few columns. Equal points are looked up once, with how
+    many rows there are; a row itself is one of those at its own point."""
+    points = target.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    found = nearest(query.select("v").distinct(), points, width, 3 if itself else 2)
+    every = F.array_sort(F.flatten(F.transform("near", lambda e: F.array_repeat(e["d"], F.least(e["n"], F.lit(3)).cast("int")))))
+    two = found.select("v", F.slice(every, 2 if itself else 1, 2).alias("d"))
+    return query.join(two, "v", "left").select(F.col("id").alias("_q"), F.get("d", F.lit(0)).alias("d1"), F.get("d", F.lit(1)).alias("d2"))
+
+
 def privacy(real: DataFrame, synthetic: DataFrame, id_: str, columns: list[str], kind: str = "dcr", low: float = 0.25, high: float = 0.75) -> DataFrame:
     """Distance to the closest record ("dcr") or its ratio to the second
     closest ("nndr"): privacy (100 - leak), and overlap, leak, nfidel, fidel,
