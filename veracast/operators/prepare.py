@@ -17,6 +17,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from veracast.functions.blocks import over_pairs
+from veracast.functions.near import FEW, nearest
 from veracast.functions.quantiles import percentiles
 
 SENTINELS = (999, -1, "NaN", "nan")
@@ -256,9 +257,10 @@ def _fills(df: DataFrame, columns: list[str], kind: str) -> DataFrame:
 def impute_knn(df: DataFrame, id_: str, columns: list[str], k: int = 2) -> DataFrame:
     """Missing values as the mean of the k nearest rows that have one. The
     distance is Euclidean over the columns that both rows have, on standard
-    scales, weighted up for missing ones. Quadratic: rows with gaps meet all
-    rows, cell by cell of a grid, and only the k least distances of a gap leave a cell. A
-    column's mean stands in where no row is comparable. Ids are integers; of equal distances the lower id is nearer."""
+    scales, weighted up for missing ones. Rows that have the same columns, as rows
+    with gaps and rows that fill them, are looked up by nearest(); with many columns, or
+    many such kinds, rows with gaps meet all rows, cell by cell of a grid, and only
+    the k least distances of a gap leave a cell. A column's mean stands in where no row is comparable. Ids are integers; of equal distances the lower id is nearer."""
     p = len(columns)
     x = df.select(F.col(id_).cast("long").alias("id"), *(F.nanvl(F.col(c).cast("double"), F.lit(None).cast("double")).alias(c) for c in columns))
     scaler = Scaler.fit(x, columns)
@@ -293,7 +295,10 @@ def impute_knn(df: DataFrame, id_: str, columns: list[str], k: int = 2) -> DataF
         keep = np.isfinite(d)
         return pa.RecordBatch.from_arrays([pa.array(c[keep]) for c in (u, i, o, d, value)], ["g", "i", "o", "d", "x"])
 
-    near = over_pairs(gaps, every, run, "g long, i long, o long, d double, x double", 256, 2048)
+    if p <= FEW and (kinds := _kinds(every, p)) is not None:
+        near = _near_by_kind(every, kinds, p, k)
+    else:
+        near = over_pairs(gaps, every, run, "g long, i long, o long, d double, x double", 256, 2048)
     near = near.withColumn("n", F.row_number().over(Window.partitionBy("g", "i").orderBy("d", "o"))).where(F.col("n") <= k)
     got = near.groupBy("g").pivot("i", list(range(p))).agg(F.avg("x"))
     got = got.select("g", *((F.col(str(i)) * scaler.scale[c] + scaler.shift[c]).alias(f"_k{i}") for i, c in enumerate(columns)))
@@ -303,6 +308,43 @@ def impute_knn(df: DataFrame, id_: str, columns: list[str], k: int = 2) -> DataF
     return out.select(*((value(c, columns.index(c)).alias(c) if c in columns else F.col(c)) for c in df.columns))
 
 
+def _there(p: int) -> Column:
+    """Which columns of v a row has, as bits."""
+    return reduce(lambda a, b: a + b, (F.when(~F.isnan(F.get("v", F.lit(i))), 1 << i).otherwise(0) for i in range(p)))
+
+
+def _kinds(every: DataFrame, p: int, most: int = 64) -> list[tuple[int, int]] | None:
+    """Kinds of rows that can fill each other's gaps, by the columns they have: one
+    with gaps, and one that has a column of those and another in common. None if they are
+    more than ``most``, or a number is infinite."""
+    if every.where(F.exists("v", lambda e: F.abs(e) == float("inf"))).take(1):
+        return None
+    there = [r[0] for r in every.select(_there(p)).distinct().collect()]  # 2^p rows at most
+    kinds = [(a, b) for a in there for b in there if a & b and b & ~a]
+    return kinds if len(kinds) <= most else None
+
+
+def _near_by_kind(every: DataFrame, kinds: list[tuple[int, int]], p: int, k: int) -> DataFrame:
+    """g, i, o, d, x: of each gap the k nearest rows of each kind that can fill
+    it. Of rows at one point only the k of the lowest ids can be among them. A row with
+    a gap is none of those that fill it."""
+    rows_ = every.withColumn("_has", _there(p))
+    out = None
+    for a, b in kinds:
+        shared, missing = ([i for i in range(p) if bits >> i & 1] for bits in (a & b, b & ~a))
+        at = F.array(*(F.get("v", F.lit(i)) for i in shared))
+        query = rows_.where(F.col("_has") == a).select("id", at.alias("at"))
+        ranked = rows_.where(F.col("_has") == b).select(F.col("id").alias("o"), "v", at.alias("at")).withColumn("_n", F.row_number().over(Window.partitionBy("at").orderBy("o"))).where(F.col("_n") <= k)
+        fills = ranked.groupBy("at").agg(F.min("o").alias("n"), F.collect_list(F.struct("o", "v")).alias("own"))  # k rows a point
+        found = nearest(query.select(F.col("at").alias("v")).distinct(), fills.select(F.col("at").alias("v"), "n"), len(shared), k, p, len(shared))
+        found = found.select(F.col("v").alias("at"), F.explode("near").alias("e")).select("at", "e.d", "e.n").join(fills.select("n", "own"), "n").select("at", "d", F.explode("own").alias("e")).select("at", "d", "e.o", "e.v")
+        best = found.withColumn("_n", F.row_number().over(Window.partitionBy("at").orderBy("d", "o"))).where(F.col("_n") <= k)
+        each = F.explode(F.array(*(F.struct(F.lit(i).cast("long").alias("i"), F.get("v", F.lit(i)).alias("x")) for i in missing)))
+        one = query.join(best, "at").select(F.col("id").alias("g"), "o", "d", each.alias("e")).select("g", "e.i", "o", "d", "e.x")
+        out = one if out is None else out.unionByName(one)
+    return out if out is not None else every.sparkSession.createDataFrame([], "g long, i long, o long, d double, x double")
+
+
 @dataclass(frozen=True)
 class Components:
     """Principal components: means, and a row of loadings for each."""
