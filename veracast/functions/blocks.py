@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-SIZE, WIDE = 1024, 4096
-MOST = 1 << 28
+SIZE, WIDE = 1024, 2048
+MOST = 1 << 24
 Block = tuple[np.ndarray, np.ndarray, dict[str, np.ndarray]]
 
 
@@ -42,13 +42,15 @@ def _part(block: Block, a: int, n: int) -> Block:
     return block[0][a : a + n], block[1][a : a + n], {c: x[a : a + n] for c, x in block[2].items()}
 
 
-def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE, like: tuple[DataFrame, DataFrame] | None = None, half: bool = False) -> DataFrame:
+def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block], pa.RecordBatch | None], schema: str, size: int = SIZE, wide: int = WIDE, like: tuple[DataFrame, DataFrame] | None = None, half: bool = False, add: dict[str, str] | None = None) -> DataFrame:
     """The rows of run(left block, right block) for blocks of up to ``size``
     and ``wide`` vectors that hold every pair of (id, v array<double>, ...) once.
     ``like``: frames that are as large, to measure in place of sides that take work to get.
     ``half``: of two sides that are the same set only the cells on and above the
     diagonal; run() gets a third argument, 2 for pairs that stand for their
-    mirror images too, or 1."""
+    mirror images too, or 1. ``add``: columns of the result with how they are added up
+    ("sum", "min", "max") for equal others; a cell does so now and then, so that what
+    it has to hold doesn't grow with its number of blocks."""
     cores = left.sparkSession.sparkContext.defaultParallelism
     measure = lambda df: df.agg(F.count(F.lit(1)), F.max(F.size("v"))).first()
     (n, width), (m, _) = (measure(df) for df in like or (left, right))
@@ -79,8 +81,20 @@ def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block],
 
     names = [f.split()[0] for f in schema.split(",")]
 
+    def added(found: list[pa.RecordBatch]) -> list[pa.RecordBatch]:
+        one = pa.Table.from_batches(found).group_by([c for c in names if c not in add]).aggregate(list(add.items()))
+        plain = {f"{c}_{how}": c for c, how in add.items()}
+        return one.rename_columns([plain.get(c, c) for c in one.column_names]).select(names).combine_chunks().to_batches()
+
     def all_of(x: pa.Table, y: pa.Table) -> pa.Table:
-        found = list(cell(x, y))
+        found: list[pa.RecordBatch] = []
+        held = 0
+        for out in cell(x, y):
+            found.append(out)
+            held += out.num_rows
+            if add and held > 4 * (x.num_rows + y.num_rows):
+                found = added(found)
+                held = sum(f.num_rows for f in found)
         return pa.Table.from_batches(found) if found else pa.table({c: pa.array([], t) for c, t in zip(names, _types(schema))})
 
     return a.cogroup(b).applyInArrow(all_of, schema)
