@@ -16,6 +16,7 @@ from veracast.functions.near import FEW, nearest
 from veracast.operators.tabular import correlations
 
 CELLS, GRID, EPS = 99, 300, 1e-10
+PART = 1024
 
 
 def _sides(real: DataFrame, synthetic: DataFrame, column: str) -> DataFrame:
@@ -90,10 +91,13 @@ def densities_of(values: DataFrame) -> DataFrame:
                 mine = np.flatnonzero((key == one[0]) & (syn == one[1]))
                 h, at = of[one][0], points(one[0])
                 sums = total.setdefault(one, np.zeros(GRID))
-                for part in np.array_split(mine, len(mine) // 8192 + 1):
+                for part in np.array_split(mine, len(mine) // PART + 1):
                     if h > 0 and len(part):
-                        z = (x[part, None] - at[None, :]) / h
-                        sums += n[part] @ np.exp(-0.5 * z * z)
+                        z = x[part, None] - at[None, :]
+                        z /= h
+                        z *= z
+                        z *= -0.5
+                        sums += n[part] @ np.exp(z, out=z)
         for (key, syn), sums in total.items():
             if sums.any():
                 yield pa.RecordBatch.from_arrays([pa.array([key] * GRID), pa.array([syn] * GRID, pa.int32()), pa.array(np.arange(GRID, dtype=np.int32)), pa.array(sums)], ["key", "syn", "g", "s"])
