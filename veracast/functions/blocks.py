@@ -101,7 +101,7 @@ def over_pairs(left: DataFrame, right: DataFrame, run: Callable[[Block, Block],
 
 
 def _types(schema: str) -> list[pa.DataType]:
-    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
+    kinds = {"int": pa.int32(), "long": pa.int64(), "double": pa.float64(), "binary": pa.binary(), "array<double>": pa.list_(pa.float64()), "array<long>": pa.list_(pa.int64())}
     return [kinds[f.split()[1]] for f in schema.split(",")]
 
 
